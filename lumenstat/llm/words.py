@@ -82,10 +82,10 @@ def shingles(batch: Batch, width: int) -> list[np.ndarray]:
         if hi - lo >= width:
             out.append(np.unique(rolled[lo : hi - width + 1]))
         elif hi > lo:
-            x = np.uint64(hi - lo)
+            x = np.array([hi - lo], np.uint64)
             for w in h[lo:hi]:
-                x = np.multiply(x, _BASE) + w
-            out.append(mix(np.array([x]) ^ _BYTE[0]))
+                x = x * _BASE + w
+            out.append(mix(x ^ _BYTE[0]))
         else:
             out.append(np.empty(0, np.uint64))
     return out
