@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenstat.llm import bpe, exact, jaccard, mixing
+from lumenstat.llm import bpe, exact, jaccard, language, mixing, nearest, pieces
 from lumenstat.llm.shared import Scratch, table
 
 #: Where the public tokenizers' files are.
@@ -17,6 +17,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/word_bp
     return bpe.encoded(table(spark, sf_dir, "documents"), path)
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    return scratch.finish(language.scored(table(spark, sf_dir, "documents"), scratch))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
@@ -25,11 +30,21 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    return pieces.counted(table(spark, sf_dir, "documents"), path)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     return scratch.finish(mixing.mixed(table(spark, sf_dir, "documents"), scratch))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return scratch.finish(nearest.neighbours(vectors, vectors.filter("vec_id % 50 = 0"), scratch))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     found = jaccard.joined(table(spark, sf_dir, "documents"), scratch)
@@ -62,7 +77,7 @@ _ORACLES = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op7_mixing, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_model, op3_exact_dedup, op5_token_counts, op7_mixing, op9_nearest, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
