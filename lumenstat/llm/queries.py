@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenstat.llm import bpe, exact, jaccard, language, mixing, nearest, pieces
+from lumenstat.llm import bpe, exact, jaccard, language, mixing, nearest, personal, pieces, quality, toxicity
 from lumenstat.llm.shared import Scratch, table
 
 #: Where the public tokenizers' files are.
@@ -30,15 +30,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.found(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
     return pieces.counted(table(spark, sf_dir, "documents"), path)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.with_scores(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     return scratch.finish(mixing.mixed(table(spark, sf_dir, "documents"), scratch))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -77,7 +91,7 @@ _ORACLES = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_language_model, op3_exact_dedup, op5_token_counts, op7_mixing, op9_nearest, op10_jaccard)}
+    return {f.__name__: f for f in (op1_bpe, op2_language_model, op3_exact_dedup, op4_personal_data, op5_token_counts, op6_toxicity, op7_mixing, op8_quality, op9_nearest, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,6 +14,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -33,13 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Batch:
-    """Words of some texts: ``buf`` is all bytes, word k is buf[start[k]:end[k]] of text doc[k]."""
+    """Words of some texts: ``buf`` is all bytes, word k is buf[start[k]:end[k]] of text doc[k]. With ``letters``, words are runs of ASCII letters, digits and bytes over 127."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = True, letters: bool = False) -> None:
         joined = b" ".join(texts) + b" "
         self.raw = joined.lower() if lower else joined  # bytes.lower changes A-Z only
         self.buf = np.frombuffer(self.raw, np.uint8)
-        blank = _SPACE[self.buf]
+        blank = (_MARK if letters else _SPACE)[self.buf]
         edge = np.diff(blank.view(np.int8), prepend=np.int8(1))
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(self.end) > len(self.start):
