@@ -26,16 +26,15 @@ from lumenstat.llm.words import Batch
 TOXIC_ROWS, CLEAN_ROWS = 2500, 5000
 FEATURES = 512  # those that differ most between the kinds
 FOLDS = 3
-BEGIN = 5  # bytes of a word's beginning
+BEGINS = (5,)  # bytes of a word's beginning
 REJECT = 0.5
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs of whole texts; features are 64-bit hashes of words and beginnings."""
     b = Batch(texts, letters=True)
-    begin = np.minimum(b.start + BEGIN, b.end)
-    h = np.concatenate([b.hashes(), b.hashes(b.start, begin) ^ np.uint64(1)])
-    doc = np.concatenate([b.doc, b.doc])
+    h = np.concatenate([b.hashes(), *[b.hashes(b.start, np.minimum(b.start + k, b.end)) ^ np.uint64(k) for k in BEGINS]])
+    doc = np.tile(b.doc, 1 + len(BEGINS))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -72,7 +71,7 @@ class Chain:
 
     def __init__(self) -> None:
         self.names: list[str] = []
-        self.hashes = np.empty(0, np.uint64)
+        self.hashes, self.scale = np.empty(0, np.uint64), np.empty(0, np.float32)
         self.weights: list[np.ndarray] = []
 
     def fit(self, docs: list[np.ndarray], toxic: np.ndarray, langs: list[str | None], folds: np.ndarray) -> Chain:
@@ -94,7 +93,8 @@ class Chain:
         slot[best] = np.arange(len(best))
         x = np.zeros((len(docs), len(best)), np.float32)
         keep = slot[at] >= 0
-        x[row[keep], slot[at[keep]]] = 1
+        self.scale = np.abs(np.log(p[best] * (1 - q[best]) / (q[best] * (1 - p[best])))).astype(np.float32)  # what tells the kinds apart weighs more
+        x[row[keep], slot[at[keep]]] = self.scale[slot[at[keep]]]
         kinds = sorted({k for k, t in zip(langs, toxic, strict=True) if t and k is not None})[:8]
         targets = [(f"toxic_{k}", toxic * np.array([v == k for v in langs])) for k in kinds] + [("toxic", toxic)]
         earlier = np.zeros((len(docs), 0), np.float32)
@@ -121,7 +121,7 @@ class Chain:
         out = np.zeros((n, len(self.names)))
         k = len(self.hashes)
         for j, w in enumerate(self.weights):
-            out[:, j] = _sigmoid(np.bincount(doc, w[at], minlength=n) + out[:, :j] @ w[k : k + j] + w[-1])
+            out[:, j] = _sigmoid(np.bincount(doc, (w[:k] * self.scale)[at], minlength=n) + out[:, :j] @ w[k : k + j] + w[-1])
         return out
 
 

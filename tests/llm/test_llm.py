@@ -1,0 +1,238 @@
+"""Edge cases, brute-force forms and held-out accuracy of the corpus operators."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from lumenstat.llm import bpe, exact, jaccard, language, mixing, nearest, personal, pieces, quality, queries, toxicity
+from lumenstat.llm.shared import Scratch
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 700}" for i in range(30_000))
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (3, "  \t\n", "en", "s", 4), (4, "one two", "en", "s", 7), (5, "one two", "en", "s", 7), (5, "one two", "en", "s", 7),
+    (6, LONG, "de", None, len(LONG)), (7, LONG + " end", "de", "t", None), (None, "one two", None, "t", 7), (8, "loser@x.y.z call +1 (269) 555-3296 at 10.0.0.1 or 300.1.1.1", "en", "t", 5),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_bpe_equals_library(odd, none):
+    from tokenizers import Tokenizer
+
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    lib, own = Tokenizer.from_file(path), bpe.Tokenizer(path)
+    rng = random.Random(3)
+    texts = ["I'LL <|endoftext|>x's", "ΑΣ é́ 日本 ½ \x1c\x00", "ab" * 2000, "a" * 33, *["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 700), rng.randrange(0x300, 0x1000)])) for _ in range(40)) for _ in range(100)]]
+    for t in [*texts, *[r[1] or "" for r in ODD]]:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids
+        assert own.decode(own.encode(t)) == lib.decode(ids, skip_special_tokens=False)
+    out = bpe.encoded(odd.withColumn("ids", odd.text), path, with_ids=True).collect()
+    assert len(out) == len(ODD) and all(r.n_tokens == len(r.ids) for r in out)
+    assert out[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
+    assert bpe.encoded(none, path).count() == 0
+
+
+def test_language_model_counts_and_normalisation(spark, odd, none):
+    got = language.scored(odd, Scratch(spark)).collect()
+    c = Counter()
+    for r in ODD:
+        if zlib.crc32(str(r[0] if r[0] is not None else "").encode()) % 7 != 2:
+            c.update([*words(r[1]), None])
+    n, v = sum(c.values()), len(c)
+    want = sorted((len(words(t[1])) + 1, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*words(t[1]), None])) for t in ODD)
+    assert np.allclose(sorted((r.n_tokens, r.base_score) for r in got), want)
+    assert {r.train_tokens for r in got} == {n}
+    m = language.Model(list(range(1, 100)), np.arange(256.0))
+    # log10 over all units of one context adds up to 1
+    total = sum(10 ** m.log10(np.array([5, 9, u]), np.zeros(3, int))[2] for u in range(256))
+    assert total == pytest.approx(1, abs=1e-4)
+    assert language.scored(none, Scratch(spark)).count() == 0
+
+
+def test_language_model_beats_counts_on_held_out_text(spark):
+    p = language.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), Scratch(spark)).filter("held_out").toPandas()
+    assert p.score.sum() > p.base_score.sum()
+
+
+def test_exact_dedup_index(spark, odd, none):
+    scratch, index = Scratch(spark), exact.DigestIndex(spark, "test_digests")
+    got = exact.deduplicated(odd, index, scratch).collect()
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id == 4} == {(5, 4)}
+    assert {r.keep_id for r in got if r.doc_id in (1, 2)} == {2}
+    assert sum(r.kept for r in got if r.doc_id == 5) == 2  # repeated rows share a decision
+    kept = exact.keep_first_copies(odd, exact.deduplicated(odd, exact.DigestIndex(spark, "test_digests2"), scratch)).collect()
+    assert len(kept) == len({r[1] or "" for r in ODD})
+    again = exact.deduplicated(odd, index, scratch)
+    assert again.filter("kept").count() == 0 and index.table().count() == len({r[1] or "" for r in ODD})
+    assert exact.deduplicated(none, index, scratch).count() == 0
+    index.drop()
+
+
+def test_personal_data_base_rules(odd, none):
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def brute(text):
+        for kind, rule in rules.items():
+            for m in re.finditer(rule, text):
+                g = "".join(c for c in m[0] if c.isdigit())
+                if (kind == "ip" and any(int(p) > 255 for p in m[0].split("."))) or (kind == "card" and not (16 <= len(g) <= 19 and personal.luhn(g))) or (kind == "phone" and not 8 <= len(g) <= 15):
+                    continue
+                yield kind, m.start(), m.end()
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice("a.@-1205+() %b") for _ in range(rng.randrange(50)))
+        assert personal.base_spans(t)[0] == list(brute(t))
+    row = next(r for r in personal.found(odd).collect() if r.doc_id == 8)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 0, 1) and row.spans.startswith("email:0:11,ip:")
+    assert personal.found(none).count() == 0
+
+
+def test_token_counts_equal_greedy(odd, none):
+    vocab = ["▁", "▁a", "▁ab", "b", "c", "bcd", "d", "cda", "▁abcx"]
+    a, rng = pieces.Automaton(vocab), random.Random(1)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcdx") for _ in range(rng.randrange(1, 10)))
+        assert a.count(w) == pieces.greedy(set(vocab), w), w
+    out = pieces.counted(odd, f"{queries.TOKENIZERS}/piece_bpe_32k.model").collect()
+    assert out[0].n_tokens == 0 and out[3].n_words == 2 and pieces.counted(none, f"{queries.TOKENIZERS}/piece_bpe_32k.model").count() == 0
+
+
+def test_toxicity_on_labels_and_odd_rows(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fitted(docs.select("doc_id", "text", "lang"), labels.filter("doc_id % 2 = 0").select("doc_id", "toxic"))
+    p = toxicity.with_scores(docs, chain).join(labels.filter("doc_id % 2 = 1").withColumnRenamed("toxic", "y"), "doc_id").toPandas()
+    assert ((p.toxic.astype(int)) == p.y).mean() > 0.9 and p.toxic[p.y == 0].mean() < 0.03
+    assert toxicity.with_scores(odd, chain).count() == len(ODD) and toxicity.clean_only(odd.withColumn("score", odd.doc_id), chain).count() >= len(ODD) - 1
+    empty = toxicity.fitted(none.select("doc_id", "text", "lang"), spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.with_scores(odd, empty).collect()} == {0.0}
+
+
+def test_mixing_invariants(spark, odd, none):
+    assert mixing.targets([("b", 100), (None, 10), ("a", 1)]) == [("a", 1, 3.0), ("b", 100, pytest.approx(78.0)), (None, 10, pytest.approx(30.0))]
+    part, held = mixing.pivotal([5, 3, 8, 2, 0], [0.3, 0.9, 0.5, 0.2, 0.4], random.Random(1))
+    assert sum(n * p for n, p in zip([5, 3, 8, 2], part)) == pytest.approx(1.5 + 2.7 + 4 + 0.4) and sum(0 < p < 1 for p in part) <= 1
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a = mixing.mixed(docs, Scratch(spark)).toPandas().sort_values("doc_id")
+    b = mixing.mixed(docs.repartition(7), Scratch(spark)).toPandas().sort_values("doc_id")
+    assert a.taken.tolist() == b.taken.tolist() and (a.taken <= 3 * a["size"]).all()
+    by = a.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.most).all()
+    assert mixing.mixed(odd, Scratch(spark)).count() == len(ODD) and mixing.mixed(none, Scratch(spark)).count() == 0
+
+
+def test_quality_held_out(spark, odd, none):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fitted(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    p = quality.scored(docs, model).join(labels, "doc_id").filter("held_out").toPandas()
+    assert (p.predicted == p.quality).mean() > 0.95
+    out = quality.scored(odd, model).collect()
+    assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out) and quality.scored(none, model).count() == 0
+    assert {r.score for r in quality.scored(odd, quality.AttentionModel()).collect()} == {0.5}
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(0)
+    m, x, n, y = quality.AttentionModel(), rng.normal(size=(9, quality.N_FEATURES)), np.array([2, 4, 3]), np.array([0.0, 1, 1])
+    m.ready = True
+
+    def loss():
+        p = m.score(x, n)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name, g in m.gradients(x, n, y).items():
+        at = tuple(0 for _ in g.shape)
+        m.p[name][at] += 1e-6
+        up = loss()
+        m.p[name][at] -= 2e-6
+        assert (up - loss()) / 2e-6 == pytest.approx(g[at], abs=1e-5), name
+        m.p[name][at] += 1e-6
+
+
+def test_nearest_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 24)).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    bad = [(2000, None, 1), (2050, [0.0] * 24, 1), (2100, [float("nan")] * 24, 1), (2150, [None] + [1.0] * 23, 1), (2200, [1.0], 1), (2250, [], 1), (None, rows[0][1], 1)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score int")
+    p = nearest.neighbours(df, df.filter("vec_id % 50 = 0"), Scratch(spark)).toPandas()
+    assert len(p) == 150 and p.vec_id.max() < 1500
+    y, hits = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True), 0
+    for q in range(0, 1500, 50):
+        c = y @ y[q]
+        c[q] = -9
+        hits += len(set(np.argsort(-c)[:5]) & set(p.vec_id[p.query_id == q]))
+    assert hits / 150 >= 0.9
+    assert nearest.neighbours(df.limit(0), df.limit(0), Scratch(spark)).count() == 0
+
+
+def brute_components(rows, width, percent):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                comp[y] = x
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def test_jaccard_join_equals_brute_force(spark, odd, none):
+    rng = random.Random(9)
+    base = [[f"t{rng.randrange(60)}" for _ in range(rng.randrange(3, 60))] for _ in range(25)]
+    rows = []
+    for i in range(160):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = f"t{rng.randrange(60)}"
+        rows.append((i, " ".join(t).upper() if i % 5 == 0 else " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((4, 85), (2, 60)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.joined(df, Scratch(spark), width, percent).collect()}
+        assert got == brute_components(rows, width, percent)
+    out = jaccard.joined(odd, Scratch(spark)).collect()
+    assert len(out) == len(ODD) and {r.component_id for r in out if r.doc_id in (4, 5)} == {4} and {r.component_id for r in out if r.doc_id in (6, 7)} == {6}
+    assert {r.n_shingles for r in out if r.doc_id in (1, 2, 3)} == {0}
+    assert jaccard.joined(none, Scratch(spark)).count() == 0
+
+
+def test_pipeline_stages(spark, odd, none, tmp_path):
+    for docs, many in ((odd.withColumn("copies", odd.doc_id).withColumn("_digest", odd.text), True), (none, False)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{many}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{many}{k}")
+        assert (docs.count() > 0) == many
