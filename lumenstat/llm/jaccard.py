@@ -153,6 +153,12 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _leads(i: Column, j: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether a shingle at places i and j of the orders can be the first one common to sets of sizes a and b that link."""
+    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
+    return F.least(a - i, b - j) >= need
+
+
 def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), node, and ``carry`` (SQL, name) columns."""
     spark, sc = scratch.spark, scratch.spark.sparkContext
@@ -167,8 +173,8 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
     members = nodes.join(heads, "gkey").select("g", "node", "doc_id", "n")
     groups = nodes.join(heads, (nodes["gkey"] == heads["gkey"]) & (nodes["node"] == heads["g"])).select("g", "n", "tokens")
     members, groups = scratch.write(members, "members"), scratch.write(groups, "groups")
-    lists = groups.select("g", "n", F.explode("tokens").alias("token"))
-    least = lists.groupBy("token").agg(F.min(F.struct("g", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("token", "c")
+    lists = groups.select("g", "n", F.posexplode("tokens").alias("at", "token"))
+    least = lists.groupBy("token").agg(F.min(F.struct("g", "n", "at")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("token", "c")
     shared = scratch.write(lists.join(least, "token"), "lists")  # lists of two groups or more
 
     prefixes = groups.select("g", "tokens", F.element_at("tokens", -1).alias("last"), F.size("tokens").alias("p"))
@@ -198,7 +204,7 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
         return out
 
     # first round: each group and the least group of each of its lists; within a group the least member
-    stars = shared.filter("g <> c.g").select(F.col("c.g").alias("a"), F.col("g").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
+    stars = shared.filter(_leads(F.col("c.at"), F.col("at"), F.col("c.n"), F.col("n"), percent)).filter("g <> c.g").select(F.col("c.g").alias("a"), F.col("g").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
     stars = stars.filter(_sizes_fit(F.col("na"), F.col("nb"), percent)).distinct()
     inner = members.filter("node <> g").select(F.col("g").alias("u"), F.col("node").alias("v"))
     first = verified(possible(stars).toDF("u", "v").unionByName(inner))
@@ -208,13 +214,13 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
 
     # second round: pairs of one list whose groups are not yet in one component
     spans = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spanned = shared.select("token", "g", "n").join(spans, "g")
+    spanned = shared.select("token", "g", "n", "at").join(spans, "g")
     mixed = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("token")
     open_lists = scratch.write(spanned.join(mixed, "token", "left_semi"), "open")
-    x = open_lists.select("token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
-    y = open_lists.select("token", F.col("g").alias("b"), F.col("n").alias("nb"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
+    x = open_lists.select("token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
+    y = open_lists.select("token", F.col("g").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
     apart = (F.col("xl") != F.col("xh")) | (F.col("yl") != F.col("yh")) | (F.col("xl") != F.col("yl"))
-    cross = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & apart).select("a", "b", "na", "nb").distinct()
+    cross = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & _leads(F.col("i"), F.col("j"), F.col("na"), F.col("nb"), percent) & apart).select("a", "b", "na", "nb").distinct()
     near = possible(cross)
     ends = placed.select("g", "node", "comp")
     expanded = near.join(ends.toDF("a", "u", "cu"), "a").join(ends.toDF("b", "v", "cv"), "b").filter("cu <> cv").select("u", "v")
