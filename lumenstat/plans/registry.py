@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("linear", "assess")
+MODULES = ("linear", "assess", "learn")
 
 
 def _modules():
