@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.85, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.85) -> DataFrame:
     """``nodes``: id; ``edges``: src, dst, distinct. Returns id, rank after ``steps`` steps. Lineage is cut by checkpoint()."""
+    sc = nodes.sparkSession.sparkContext
+    if not (nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenstat-"))
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = edges.join(degree, "src").select("src", "dst", "deg").persist()
@@ -19,6 +24,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
         raw = new.select("id", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("raw"))
         total = raw.agg(F.sum("raw").alias("total"))
         ranks = raw.crossJoin(F.broadcast(total)).select("id", (F.col("raw") / F.col("total")).alias("rank"))
-        if (step + 1) % cut_every == 0 and nodes.sparkSession.sparkContext.getCheckpointDir():
+        if step + 1 < steps:  # each step reads the ranks four times, so the plan must not keep its past
             ranks = ranks.checkpoint()
     return ranks

@@ -64,5 +64,5 @@ def test_rules_and_pagerank(spark):
     assert {r.itemset: r.n for r in supports(items, 2, 0.1).collect()} == {"a": 3, "b": 2, "a,b": 2}
     assert pair_rules(items, 0.1).filter("lhs = 'b'").first()["conviction"] == float("inf")
     nodes = spark.createDataFrame([(i,) for i in range(3)], "id long")
-    rank = pagerank(nodes, spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), 20)
+    rank = pagerank(nodes, spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), 4)
     assert sum(r["rank"] for r in rank.collect()) == pytest.approx(1)
