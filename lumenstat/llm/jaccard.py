@@ -8,11 +8,14 @@ so that frequent lines and passages come last), then hash. Any such order is rig
 sets that link share one of their first ``n - ceil(percent * n / 100) + 1`` shingles. Documents of equal
 sets are one node; nodes of equal size and prefix are one group, and only groups are indexed by shingle.
 
-Links are found in two rounds, so that a large group of near copies never becomes all its pairs. First each
-group meets only the least group of each shingle's list. Then the lists are searched for pairs of groups that
-are not connected yet. Group pairs are filtered by size and by their common prefix, expanded to
+Links are found in rounds, so that a large group of near copies never becomes all its pairs. First each
+group meets only one group of each shingle's list, picked by a hash of shingle and group so that lists differ in it. Two more such rounds
+follow for groups not connected yet. Then the lists are searched for all pairs of groups still not connected. Group pairs are filtered by size and by their common prefix, expanded to
 members, and verified on whole sets. Thus all components are exact, while links within a component that
-the first round has connected need not be spelled out.
+the first round has connected need not be spelled out. From the second round on, signatures (the parity of
+the shingles in each cell, of the prefix and, in groups of one member, of the whole set) are part of the join's
+condition: two signatures differ in no more bits than the sets differ in shingles, so that a pair that
+fails cannot link.
 
 Null texts count as empty; null ids take no part in the least id. Repeated rows are one node. Extra
 columns are ignored.
@@ -32,6 +35,8 @@ from lumenstat.llm.shared import Scratch, as_bytes, filled, mapped, pieces, spar
 from lumenstat.llm.words import Batch, mix, shingles
 
 SKETCH_BITS = 22  # counters of the frequency sketch; 4 bits each are broadcast
+SIGN_BITS = {"bits": 256, "whole": 512}  # bits of the signatures of a prefix and of a whole set, multiples of 64
+ROUNDS = 4  # of links, the last over all pairs that are then open
 MASK_BITS = 24  # bits of the set of documents whose whole sets are wanted; the rest is left to the join
 BLOCK = 1 << 12
 
@@ -91,6 +96,12 @@ def prefix_length(n: int, percent: int) -> int:
     return 0 if 100 * n < percent * (n + 1) else n - -(-percent * n // 100) + 1
 
 
+def signature(tokens: np.ndarray, bits: int) -> bytes:
+    """Parity of the shingles in each of ``bits`` cells."""
+    odd = np.bincount(tokens & np.int64(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _pack(classes: np.ndarray) -> bytes:
     return (classes[0::2] | classes[1::2] << 4).tobytes()
 
@@ -101,42 +112,45 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, classes: object, extra: list[str], mask: object = None) -> DataFrame:
-    """doc_id, node, n, tokens: the prefix of each document's set; with a mask, whole sets of documents that it has."""
+    """doc_id, node, n, tokens, bits, whole: the prefix of each document's set and the signatures; with a mask, whole sets, unsigned, of documents that it has."""
+    signs = list(SIGN_BITS) if mask is None else []
+    own = ["doc_id", "node", "n", "tokens", *signs]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _unpack(classes.value)
         wanted = None if mask is None else np.frombuffer(mask.value, np.uint8)
         for b in batches:
-            texts, ids = as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False) if not b.column(0).null_count else np.array(b.column(0).fill_null(-1))
+            texts, ids = as_bytes(b.column(1)), b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for lo, hi in pieces([len(t) for t in texts]):
-                nodes, sizes, out, rows = [], [], [], []
-                for i, found in enumerate(shingles(Batch(texts[lo:hi]), width)):
+                nodes, sizes, out, rows, sets = [], [], [], [], []
+                take = range(lo, hi) if wanted is None else [i for i, at in zip(range(lo, hi), (ids[lo:hi] & ((1 << MASK_BITS) - 1)).tolist(), strict=True) if wanted[at >> 3] >> (at & 7) & 1]
+                for i, found in zip(take, shingles(Batch([texts[i] for i in take]), width), strict=True):
                     # the node is a hash of the whole set; the empty set has node 0
                     node = np.int64(0) if not len(found) else (mix(np.bitwise_xor.reduce(mix(found ^ np.uint64(0x5BD1E995)))[None] + found.sum(dtype=np.uint64))).view(np.int64)[0]
                     if wanted is not None:
-                        at = int((node ^ np.int64(ids[lo + i])) & np.int64((1 << MASK_BITS) - 1))
-                        if not len(found) or not wanted[at >> 3] >> (at & 7) & 1:
-                            continue
                         out.append(ordered(found, table))
                     else:
-                        p = prefix_length(len(found), percent) if len(found) else 0
-                        out.append(ordered(found, table)[:p] if p else np.empty(0, np.int64))
-                    rows.append(lo + i)
+                        sets.append(ordered(found, table))
+                        out.append(sets[-1][: prefix_length(len(found), percent) if len(found) else 0])
+                    rows.append(i)
                     nodes.append(node)
                     sizes.append(len(found))
                 if rows:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])])
                     tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out), pa.int64()))
                     cols = [b.column(0).take(pa.array(rows)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), tokens]
-                    yield pa.RecordBatch.from_arrays(cols + [b.column(2 + k).take(pa.array(rows)) for k in range(len(extra))], ["doc_id", "node", "n", "tokens", *extra])
+                    for name, of in zip(signs, (out, sets), strict=False):
+                        words = np.frombuffer(b"".join(signature(x, SIGN_BITS[name]) for x in of), np.int64)
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (SIGN_BITS[name] // 64), pa.int32()), pa.array(words, pa.int64())))
+                    yield pa.RecordBatch.from_arrays(cols + [b.column(2 + k).take(pa.array(rows)) for k in range(len(extra))], [*own, *extra])
 
-    return mapped(docs.select("doc_id", "text", *extra), run, "doc_id bigint, node bigint, n bigint, tokens array<bigint>" + (f", {kinds}" if extra else ""))
+    return mapped(docs.select("doc_id", "text", *extra), run, ", ".join(f"{c} {'array<bigint>' if c in ('tokens', *signs) else 'bigint'}" for c in own) + (f", {kinds}" if extra else ""))
 
 
 def _mask(spark: SparkSession, wanted: DataFrame) -> bytes:
-    """A bitmap of fixed size of the (node, doc_id) pairs wanted."""
-    at = F.col("node").bitwiseXOR(F.coalesce("doc_id", F.lit(-1))).bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+    """A bitmap of fixed size of the low bits of the ids wanted."""
+    at = F.coalesce("doc_id", F.lit(-1)).bitwiseAND(F.lit((1 << MASK_BITS) - 1))
     bits = wanted.select((at + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
     step = 4096  # bytes of one bitmap
     out = bytearray((1 << MASK_BITS) // 8)
@@ -159,6 +173,18 @@ def _leads(i: Column, j: Column, a: Column, b: Column, percent: int) -> Column:
     return F.least(a - i, b - j) >= need
 
 
+def _signs_fit(x: str, y: str, percent: int) -> Column:
+    """Whether structs x and y (n, p, last, bits, whole or null) may share enough: each cell whose parity differs holds a shingle of one alone."""
+
+    def apart(name: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.{name}")[k].bitwiseXOR(F.col(f"{y}.{name}")[k])) for k in range(SIGN_BITS[name] // 64)), F.lit(0))
+
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    rest = F.when(F.col(f"{x}.last") <= F.col(f"{y}.last"), a - F.col(f"{x}.p")).otherwise(b - F.col(f"{y}.p"))
+    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)
+    return F.coalesce(a + b - apart("whole") >= 2 * need, F.col(f"{x}.p") + F.col(f"{y}.p") - apart("bits") >= 2 * (need - rest))
+
+
 def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), node, and ``carry`` (SQL, name) columns."""
     spark, sc = scratch.spark, scratch.spark.sparkContext
@@ -167,16 +193,18 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
     classes = sc.broadcast(_pack(frequency_classes(docs, width)))
     rows = scratch.write(_sets(docs, width, percent, classes, extra), "rows")
     # equal sets are one node; its least document lends the set
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), *[F.first(c).alias(c) for c in SIGN_BITS])
     nodes = scratch.write(nodes.filter(F.size("tokens") > 0).withColumn("gkey", F.xxhash64("n", "tokens")), "nodes")
-    heads = scratch.write(nodes.groupBy("gkey").agg(F.min("node").alias("g")), "heads")
+    heads = scratch.write(nodes.groupBy("gkey").agg(F.min("node").alias("g"), F.count("*").alias("k")), "heads")
     members = nodes.join(heads, "gkey").select("g", "node", "doc_id", "n")
-    groups = nodes.join(heads, (nodes["gkey"] == heads["gkey"]) & (nodes["node"] == heads["g"])).select("g", "n", "tokens")
+    groups = nodes.join(heads, (nodes["gkey"] == heads["gkey"]) & (nodes["node"] == heads["g"])).select("g", "n", "tokens", "bits", F.when(F.col("k") == 1, F.col("whole")).alias("whole"))
     members, groups = scratch.write(members, "members"), scratch.write(groups, "groups")
+    scratch.drop(nodes)
     lists = groups.select("g", "n", F.posexplode("tokens").alias("at", "token"))
-    least = lists.groupBy("token").agg(F.min(F.struct("g", "n", "at")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("token", "c")
+    least = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("g", "token").alias("pick"), "g", "n", "at")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("token", "c")
     shared = scratch.write(lists.join(least, "token"), "lists")  # lists of two groups or more
 
+    signs = groups.select("g", F.struct("n", F.size("tokens").alias("p"), F.element_at("tokens", -1).alias("last"), *SIGN_BITS).alias("sign"))
     prefixes = groups.select("g", "tokens", F.element_at("tokens", -1).alias("last"), F.size("tokens").alias("p"))
 
     def possible(pairs: DataFrame, common: Column | None = None) -> DataFrame:
@@ -203,34 +231,41 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
         mask.destroy()
         return out
 
-    # first round: each group and the least group of each of its lists; within a group the least member
-    stars = shared.filter(_leads(F.col("c.at"), F.col("at"), F.col("c.n"), F.col("n"), percent)).filter("g <> c.g").select(F.col("c.g").alias("a"), F.col("g").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-    stars = stars.filter(_sizes_fit(F.col("na"), F.col("nb"), percent)).distinct()
+    # first round: each group and the picked group of each of its lists; within a group the least member
+    stars = shared.filter(_leads(F.col("c.at"), F.col("at"), F.col("c.n"), F.col("n"), percent)).filter(F.col("g") != F.col("c.g")).select(F.least("g", "c.g").alias("a"), F.greatest("g", "c.g").alias("b"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
+    stars = stars.filter(_sizes_fit(F.col("n1"), F.col("n2"), percent)).select("a", "b").distinct()
+    stars = stars.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").filter(_signs_fit("x", "y", percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     inner = members.filter("node <> g").select(F.col("g").alias("u"), F.col("node").alias("v"))
     first = verified(possible(stars).toDF("u", "v").unionByName(inner))
     labels = scratch.write(components(first, scratch), "labels")
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    placed = scratch.write(placed.select("g", "node", "n", "comp"), "placed")
-
-    # second round: pairs of one list whose groups are not yet in one component
-    spans = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    spanned = shared.select("token", "g", "n", "at").join(spans, "g")
-    mixed = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("token")
-    open_lists = scratch.write(spanned.join(mixed, "token", "left_semi"), "open")
-    x = open_lists.select("token", F.col("g").alias("a"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("lo").alias("xl"), F.col("hi").alias("xh"))
-    y = open_lists.select("token", F.col("g").alias("b"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
-    apart = (F.col("xl") != F.col("xh")) | (F.col("yl") != F.col("yh")) | (F.col("xl") != F.col("yl"))
-    cross = x.join(y, "token").filter((F.col("a") < F.col("b")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & _leads(F.col("i"), F.col("j"), F.col("na"), F.col("nb"), percent) & apart).select("a", "b", "na", "nb").distinct()
-    near = possible(cross)
-    ends = placed.select("g", "node", "comp")
-    expanded = near.join(ends.toDF("a", "u", "cu"), "a").join(ends.toDF("b", "v", "cv"), "b").filter("cu <> cv").select("u", "v")
-    split = placed.join(spans.filter("lo < hi").select("g"), "g", "left_semi").select("g", "node", "comp")
-    within = split.toDF("g", "u", "cu").join(split.toDF("g", "v", "cv"), "g").filter("u < v AND cu <> cv").select("u", "v")
-    second = verified(expanded.unionByName(within))
-    label = placed.select("node", "comp").distinct()
-    bridges = second.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-    top = components(bridges, scratch).toDF("comp", "top")
-    final = placed.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("g", "node", "n", "comp")
+
+    # later rounds: pairs of one list whose groups are not yet in one component; again stars, and all such pairs in the last
+    for k in range(1, ROUNDS):
+        placed = scratch.write(placed, "placed")
+        spans = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        spanned = scratch.write(shared.select("token", "g", "at").join(spans, "g"), "spanned")
+        mixed = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min(F.struct(F.xxhash64("g", "token", F.lit(k)).alias("pick"), "g")).alias("c")).filter("l < h")
+        entries = spanned.join(mixed.select("token", F.col("c.g").alias("star")), "token").join(signs, "g")
+        entries = scratch.write(entries.select("token", F.struct("g", "at", "lo", "hi").alias("e"), "sign", "star"), "open")
+        x, y = entries.toDF("token", "i", "x", "star"), entries.drop("star").toDF("token", "j", "y")
+        if k < ROUNDS - 1:
+            x = x.filter("i.g = star")
+        apart = F.expr("i.lo <> i.hi OR j.lo <> j.hi OR i.lo <> j.lo")
+        order = F.col("i.g") < F.col("j.g") if k == ROUNDS - 1 else F.col("i.g") != F.col("j.g")
+        fit = order & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _leads(F.col("i.at"), F.col("j.at"), F.col("x.n"), F.col("y.n"), percent) & apart & _signs_fit("x", "y", percent)
+        near = possible(x.join(y, "token").filter(fit).select(F.col("i.g").alias("a"), F.col("j.g").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+        ends = placed.select("g", "node", "comp")
+        found = near.join(ends.toDF("a", "u", "cu"), "a").join(ends.toDF("b", "v", "cv"), "b").filter("cu <> cv").select("u", "v")
+        if k == ROUNDS - 1:
+            split = placed.join(spans.filter("lo < hi").select("g"), "g", "left_semi").select("g", "node", "comp")
+            found = found.unionByName(split.toDF("g", "u", "cu").join(split.toDF("g", "v", "cv"), "g").filter("u < v AND cu <> cv").select("u", "v"))
+        links = verified(found)
+        label = placed.select("node", "comp").distinct()
+        bridges = links.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        top = components(bridges, scratch).toDF("comp", "top")
+        placed = placed.join(top, "comp", "left").select("g", "node", "n", F.coalesce("top", "comp").alias("comp"))
+    final = placed.select("node", "comp")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     comp = ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = scratch.write(comp.join(comp.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id"), "named")
