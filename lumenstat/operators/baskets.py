@@ -34,3 +34,22 @@ def pair_rules(items: DataFrame, least: float) -> DataFrame:
         (F.col("n") / (F.col("nl") + F.col("nr") - F.col("n"))).alias("jaccard"), (F.col("n") / F.sqrt(F.col("nl").cast("double") * F.col("nr"))).alias("cosine"),
         ((conf + F.col("n") / F.col("nr")) / 2).alias("kulczynski"),
     )
+
+
+def _larger(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Itemsets with the one-item-smaller subsets of every itemset: n_up is the count of the larger one."""
+    own = found.withColumn("items", F.array_sort(F.split("itemset", ",")))
+    subsets = own.select(F.explode("items").alias("out"), "items", F.col("n").alias("n_up")).select(F.array_remove("items", F.col("out")).alias("items"), "n_up")
+    return own, subsets.groupBy("items").agg(F.max("n_up").alias("n_up"))
+
+
+def closed(found: DataFrame) -> DataFrame:
+    """Of ``supports`` (items without commas), those without a frequent superset of equal count: one more item is enough to look at."""
+    own, up = _larger(found)
+    return own.join(up, "items", "left").filter(F.col("n_up").isNull() | (F.col("n_up") < F.col("n"))).select(*found.columns)
+
+
+def maximal(found: DataFrame) -> DataFrame:
+    """Of ``supports``, those without any frequent superset."""
+    own, up = _larger(found)
+    return own.join(up, "items", "left_anti").select(*found.columns)

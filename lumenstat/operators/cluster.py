@@ -44,3 +44,24 @@ def neighbours(queries: DataFrame, data: DataFrame, k: int, id_col: str, vec: st
     pairs = pairs.withColumn("dist", F.sqrt(squared_distance(F.col(vec), F.col("qv"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", id_col))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("qv", vec)
+
+
+def sums_of_squares(df: DataFrame, label: str, x: list[str]) -> DataFrame:
+    """total, within and between clusters, from one grouped and one small aggregation of moments."""
+    per = df.groupBy(label).agg(*[f(c).alias(f"{n}_{c}") for c in x for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))])
+    within = sum((F.sum(F.col(f"n_{c}") * F.col(f"v_{c}")) for c in x), F.lit(0.0))
+    between = sum((F.sum(F.col(f"n_{c}") * F.pow(F.col(f"m_{c}"), F.lit(2))) - F.pow(F.sum(F.col(f"n_{c}") * F.col(f"m_{c}")), F.lit(2)) / F.sum(f"n_{c}") for c in x), F.lit(0.0))
+    return per.agg((within + between).alias("total"), within.alias("within"), between.alias("between"))
+
+
+def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
+    """rand, adjusted: from the contingency table, never from pairs of rows."""
+
+    def pairs(*by: str) -> DataFrame:
+        n = df.groupBy(*by).count()
+        return n.agg(F.coalesce(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("p"))
+
+    both, left, right, every = pairs(a, b).toDF("c"), pairs(a).toDF("x"), pairs(b).toDF("y"), pairs().toDF("t")
+    row = both.crossJoin(left).crossJoin(right).crossJoin(every)  # one row each
+    expected = F.col("x") * F.col("y") / F.col("t")
+    return row.select(((F.col("t") + 2 * F.col("c") - F.col("x") - F.col("y")) / F.col("t")).alias("rand"), ((F.col("c") - expected) / ((F.col("x") + F.col("y")) / 2 - expected)).alias("adjusted"))

@@ -27,3 +27,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
         if step + 1 < steps:  # each step reads the ranks four times, so the plan must not keep its past
             ranks = ranks.checkpoint()
     return ranks
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, out_degree, in_degree, dangling (no edge leaves it)."""
+    out, into = edges.groupBy("src").agg(F.count("*").alias("o")), edges.groupBy("dst").agg(F.count("*").alias("i"))
+    both = nodes.join(out, nodes["id"] == out["src"], "left").join(into, nodes["id"] == into["dst"], "left")
+    return both.select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"), F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.col("o").isNull().alias("dangling"))
+
+
+def transition(edges: DataFrame) -> DataFrame:
+    """src, dst, probability: one over the out-degree."""
+    return edges.join(edges.groupBy("src").agg(F.count("*").alias("d")), "src").select("src", "dst", (1 / F.col("d")).alias("probability"))

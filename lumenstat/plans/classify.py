@@ -13,7 +13,7 @@ REPLICATES = 20
 
 
 def _parts(spark, d):
-    return table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 1000).alias("b"))
+    return table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("a"), ((F.col("p_size") + F.col("p_partkey") % 17) / 40.0).alias("b"))
 
 
 def _scored(spark, d, kind):
@@ -71,7 +71,7 @@ def tree_depth2(spark, d):
 
 
 def adaboost_first_round(spark, d):
-    df = _parts(spark, d).withColumn("y", F.when(F.col("b") > 1.45, 1).otherwise(-1))
+    df = _parts(spark, d).withColumn("y", F.when(F.col("b") > 0.85, 1).otherwise(-1))
     rows, _ = trees.adaboost(df, {"a": trees.midpoints(df, "a", 1000)}, "y", 1)
     return rounded(spark.createDataFrame([r[1:] for r in rows], "cut double, sign int, error double, vote double"), 6)
 
@@ -92,11 +92,11 @@ def bootstrap_interval(spark, d):
 
 
 def mixture_two_steps(spark, d):
-    m, s, p, ll = resample.mixture(_parts(spark, d), "b", [1.2, 1.7], [0.2, 0.2], [0.5, 0.5], 2)
+    m, s, p, ll = resample.mixture(_parts(spark, d), "b", [0.5, 1.1], [0.2, 0.2], [0.5, 0.5], 2)
     return rounded(spark.createDataFrame([(k, float(m[k]), float(s[k]), float(p[k]), ll) for k in range(2)], "component int, mean double, sd double, weight double, loglik double"), 5)
 
 
-_P = "WITH p AS (SELECT p_partkey, p_type, p_size::DOUBLE AS a, p_retailprice/1000 AS b FROM part)"
+_P = "WITH p AS (SELECT p_partkey, p_type, p_size::DOUBLE AS a, (p_size+p_partkey%17)::DOUBLE/40 AS b FROM part)"
 _M = _P + ", m AS (SELECT p_type AS k, count(*) AS n, avg(a) AS ma, avg(b) AS mb, var_pop(a)*count(*) AS saa, var_pop(b)*count(*) AS sbb, covar_pop(a,b)*count(*) AS sab FROM p GROUP BY 1), w AS (SELECT sum(saa)/(sum(n)-count(*)) AS aa, sum(sbb)/(sum(n)-count(*)) AS bb, sum(sab)/(sum(n)-count(*)) AS ab, sum(n) AS total FROM m)"
 
 
@@ -120,7 +120,7 @@ _R = _P + f", h AS (SELECT r, b, ((p_partkey%10007)*(7919+31*r)+104729*r)%10007
 
 
 def _mixture_sql() -> str:
-    sql = _P + ", t0 AS (SELECT 1.2::DOUBLE AS m0, 1.7::DOUBLE AS m1, 0.2::DOUBLE AS s0, 0.2::DOUBLE AS s1, 0.5::DOUBLE AS p0, 0.5::DOUBLE AS p1, 0.0::DOUBLE AS ll)"
+    sql = _P + ", t0 AS (SELECT 0.5::DOUBLE AS m0, 1.1::DOUBLE AS m1, 0.2::DOUBLE AS s0, 0.2::DOUBLE AS s1, 0.5::DOUBLE AS p0, 0.5::DOUBLE AS p1, 0.0::DOUBLE AS ll)"
     for k in range(2):
         dens = [f"p{c}/s{c}/sqrt(2*pi())*exp(-0.5*power((b-m{c})/s{c},2)) AS d{c}" for c in range(2)]
         sql += f", d{k} AS (SELECT b, {', '.join(dens)} FROM p, t{k}), r{k} AS (SELECT b, d0/(d0+d1) AS r0, d1/(d0+d1) AS r1, ln(d0+d1) AS l FROM d{k}), u{k} AS (SELECT sum(r0*b)/sum(r0) AS m0, sum(r1*b)/sum(r1) AS m1, sum(r0) AS w0, sum(r1) AS w1, count(*) AS n, sum(l) AS ll FROM r{k})"
@@ -152,7 +152,7 @@ ORACLES = {
     "logistic_two_steps": _logistic_sql(),
     "stump_split": _K.format(y="b") + ", g AS (SELECT *, sl*sl/nl+sr*sr/nr-s*s/n AS gain FROM t WHERE nl>=5 AND nr>=5) SELECT cut, nl::BIGINT AS n_left, round(sl/nl,6) AS left, round(sr/nr,6) AS right, round(gain,6) AS gain FROM g ORDER BY round(g.gain,9) DESC, cut LIMIT 1",
     "tree_depth2": _TREE,
-    "adaboost_first_round": _K.format(y="CASE WHEN b>1.45 THEN 1.0::DOUBLE ELSE -1.0 END") + ", e AS (SELECT cut, CASE WHEN sl>=sr THEN 1 ELSE -1 END AS sign, 0.5*(1-abs(sl-sr)/n) AS error FROM t ORDER BY abs(sl-sr) DESC, cut LIMIT 1) SELECT round(cut,6) AS cut, sign::INT AS sign, round(error,6) AS error, round(0.5*ln((1-error)/error),6) AS vote FROM e WHERE error < 0.5",
+    "adaboost_first_round": _K.format(y="CASE WHEN b>0.85 THEN 1.0::DOUBLE ELSE -1.0 END") + ", e AS (SELECT cut, CASE WHEN sl>=sr THEN 1 ELSE -1 END AS sign, 0.5*(1-abs(sl-sr)/n) AS error FROM t ORDER BY abs(sl-sr) DESC, cut LIMIT 1) SELECT round(cut,6) AS cut, sign::INT AS sign, round(error,6) AS error, round(0.5*ln((1-error)/error),6) AS vote FROM e WHERE error < 0.5",
     "bootstrap_mean": _R + " SELECT replicate::INT AS replicate, round(mean,8) AS mean FROM m",
     "bootstrap_interval": _R + " SELECT round(avg(mean),8) AS mean, round(stddev_samp(mean),8) AS se, round(quantile_cont(mean,0.025),8) AS low, round(quantile_cont(mean,0.975),8) AS high FROM m",
     "mixture_two_steps": _mixture_sql(),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("linear", "assess", "learn", "classify")
+MODULES = ("linear", "assess", "learn", "classify", "shape")
 
 
 def _modules():
