@@ -68,6 +68,12 @@ def test_borders_graph_tables_and_rand(spark):
     nodes, edges = spark.range(3), spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "src long, dst long")
     assert {tuple(r) for r in graph.degrees(nodes, edges).collect()} == {(0, 2, 0, False), (1, 1, 1, False), (2, 0, 2, True)}
     assert graph.transition(edges).filter("src = 0").first()["probability"] == 0.5
+    home = spark.createDataFrame([(0, 2.0)], "id long, weight double")
+    want, jump = np.full(3, 1 / 3), np.array([1.0, 0, 0])
+    step = np.array([[0, 0.5, 0.5], [0, 0, 1], [1, 0, 0]])  # the dangling node jumps home
+    for _ in range(3):
+        want = 0.15 * jump + 0.85 * want @ step
+    assert np.allclose([r["rank"] for r in graph.pagerank(nodes, edges, 3, teleport=home).orderBy("id").collect()], want)
     same = spark.createDataFrame([(i, i % 3, (i % 3) * 7) for i in range(9)], "id long, a long, b long")
     assert tuple(cluster.rand_index(same, "a", "b").first()) == (1.0, 1.0)
     s = cluster.sums_of_squares(same, "a", ["id"]).first()
