@@ -53,3 +53,25 @@ def maximal(found: DataFrame) -> DataFrame:
     """Of ``supports``, those without any frequent superset."""
     own, up = _larger(found)
     return own.join(up, "items", "left_anti").select(*found.columns)
+
+
+def rules(found: DataFrame, least: float = 0.0) -> DataFrame:
+    """Of ``supports`` (items without commas): lhs (comma-joined), rhs (one item), n, support, confidence, lift; every subset of a frequent set is there to join."""
+    sets = found.filter("size > 1").select(F.array_sort(F.split("itemset", ",")).alias("items"), "n", "support")
+    split = sets.select(F.explode("items").alias("rhs"), "items", "n", "support").withColumn("lhs", F.array_join(F.array_remove("items", F.col("rhs")), ","))
+    names = found.select(F.array_join(F.array_sort(F.split("itemset", ",")), ",").alias("name"), F.col("n").alias("k"), F.col("support").alias("s"))
+    both = split.join(names.select(F.col("name").alias("lhs"), F.col("k").alias("nl")), "lhs").join(names.select(F.col("name").alias("rhs"), F.col("s").alias("sr")), "rhs")
+    confidence = F.col("n") / F.col("nl")
+    return both.filter(confidence >= least).select("lhs", "rhs", "n", "support", confidence.alias("confidence"), (confidence / F.col("sr")).alias("lift"))
+
+
+def without_redundant(table: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """Of ``rules``, those for which no rule of the same rhs and a proper part of the lhs is as confident. Each lhs meets only its own subsets, by name."""
+    items = F.split("lhs", ",")
+    last = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(items)) - 2
+    masks = F.when(F.size(items) > 1, F.sequence(F.lit(1).cast("long"), last))
+    part = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), F.size(items) - 1), lambda i: F.when(F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0, F.get(items, i))), lambda v: v.isNotNull()), ",")
+    small = table.select("lhs", "rhs", "confidence", F.explode(masks).alias("mask")).select("lhs", "rhs", F.col("confidence").alias("own"), part.alias("part"))
+    better = table.select(F.col("lhs").alias("part"), "rhs", F.col("confidence").alias("c"))
+    gone = small.join(better, ["part", "rhs"]).filter(F.col("c") >= F.col("own") - tol).select("lhs", "rhs").distinct()
+    return table.join(gone, ["lhs", "rhs"], "left_anti").select(*table.columns)

@@ -65,3 +65,26 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     row = both.crossJoin(left).crossJoin(right).crossJoin(every)  # one row each
     expected = F.col("x") * F.col("y") / F.col("t")
     return row.select(((F.col("t") + 2 * F.col("c") - F.col("x") - F.col("y")) / F.col("t")).alias("rand"), ((F.col("c") - expected) / ((F.col("x") + F.col("y")) / 2 - expected)).alias("adjusted"))
+
+
+def silhouettes(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
+    """Adds a, b, silhouette with squared Euclidean distance: the mean distance to a cluster follows from its size, means and
+    squares, so that no pair of rows is formed. A row alone in its cluster, or one cluster alone, has 0. Rows with nulls are left out.
+    Clusters, as few as the clustering was asked for, become literals."""
+    data = df.dropna(subset=[label, *cols])
+    mid = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    z = [F.col(c) - float(mid[f"m{i}"] or 0.0) for i, c in enumerate(cols)]
+    sq = sum((v * v for v in z[1:]), z[0] * z[0])
+    known = data.groupBy(F.col(label).alias("l")).agg(F.count("*").cast("double").alias("n"), F.avg(sq).alias("q"), F.array(*[F.avg(v) for v in z]).alias("m")).collect()
+    own = alone = F.lit(None).cast("double")
+    others = []
+    for r in known:
+        dist = sq - 2 * sum((v * float(c) for v, c in zip(z, r["m"], strict=True)), F.lit(0.0)) + float(r["q"])
+        mine = F.col(label) == F.lit(r["l"])
+        own = F.when(mine, dist * r["n"] / (r["n"] - 1) if r["n"] > 1 else F.lit(0.0)).otherwise(own)
+        alone = F.when(mine, F.lit(float(r["n"]))).otherwise(alone)
+        others.append(F.when(~mine, dist))
+    b = F.array_min(F.array(*others)) if others else F.lit(None).cast("double")
+    out = data.withColumns({"a": own, "b": b, "_n": alone})
+    top = F.greatest("a", "b")
+    return out.withColumn("silhouette", F.when(F.col("b").isNull() | (F.col("_n") <= 1) | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)).drop("_n")
