@@ -26,6 +26,19 @@ def ranked(df: DataFrame, key: str, out: str, by: list[str] | None = None, seed:
     return joined.select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
 
 
+def placed(df: DataFrame, key: str, out: str, buckets: int = BUCKETS) -> DataFrame:
+    """``out``: rank from 0 in the order of a unique integer key, exact at any size: buckets are equal ranges of the key from its least to its greatest value; a window ranks
+    within a bucket, and buckets are placed by a running sum of their sizes."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = 1 if low is None else (high - low) // buckets + 1
+    data = df.withColumn("_bucket", F.expr(f"(`{key}` - ({low or 0})) div {width}"))
+    sizes = data.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = sizes.select(F.col("_bucket"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inner = data.withColumn("_in", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1)
+    return inner.join(F.broadcast(starts), "_bucket").select(*df.columns, (F.col("_start") + F.col("_in")).alias(out))
+
+
 def stratified_folds(df: DataFrame, y: str, key: str, k: int = 5) -> DataFrame:
     """Adds fold 0 to k - 1: sizes of a class differ by one row at most. Null is a class of its own."""
     return ranked(df, key, "_rank", [y]).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank")
