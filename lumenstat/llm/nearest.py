@@ -3,8 +3,10 @@
 Vectors are scaled to length one and cut into short subspaces of sixteen centres each (4 bits). Centres
 and codes minimise |r|^2 + (eta - 1) (r . x)^2 for the residual r, so that error along the vector, which
 changes large inner products most, costs eta times as much. A query's table of inner products with the
-centres is read by packed codes, two subspaces to a byte; the best candidates are ranked exactly, in
-double precision on the original vectors.
+centres is read by packed codes, two subspaces to a byte; in each block of vectors the best candidates, with
+all that tie with the last of them, are ranked exactly, in double precision on the original vectors. A block
+gives its k nearest, and these are merged by exact score, so that candidates grow with the number of blocks
+and neither equal vectors nor near copies of one code are cut by anything but score and id.
 
 The centres are fitted on a bounded sample (FIT_ROWS rows, by hash of the id); every row is indexed. Vectors
 null, empty, zero or holding null or non-finite components take no part, nor do those of another length than
@@ -28,7 +30,8 @@ CENTRES = 16
 THRESHOLD = 0.2  # cosine above which errors matter: gives the weight eta
 BLOCK_ROWS = 16_384  # vectors scanned together
 QUERY_ROWS = 512  # queries scanned together
-CANDIDATES = 200  # kept for exact ranking, of each block and at last
+CANDIDATES = 200  # ranked exactly in each block, and all that tie with the last
+PAIRS = 1 << 18  # query and candidate pairs ranked together
 
 
 def weight(dim: int, threshold: float = THRESHOLD) -> float:
@@ -111,11 +114,27 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, label: str) -> DataFra
     return found.filter(F.col(label).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("vec", lambda x: x != 0))
 
 
-def cosine(a: str, b: str):
-    def total(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, z: acc + z)
+def total(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component on, so that equal rows tie wherever they are."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
 
-    return total(a, b) / (F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
+def nearest(near: np.ndarray, k: int, q: np.ndarray, vec: np.ndarray, candidates: int = CANDIDATES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of approximate scores ``near`` (-inf: not to be taken) the ``k`` best by exact cosine, then by place in ``vec``: rows, places, cosines."""
+    m = min(max(candidates, k), near.shape[1])
+    floor = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
+    took = (near >= floor[:, None]) & np.isfinite(near)
+    norm_q, norm_v = np.sqrt(total(q, q)), np.sqrt(total(vec, vec))
+    found: list[tuple[np.ndarray, ...]] = []
+    for row in range(len(near)):
+        at = np.flatnonzero(took[row])
+        score = np.concatenate([total(np.broadcast_to(q[row], (len(c), q.shape[1])), vec[c]) / (norm_q[row] * norm_v[c]) for c in np.split(at, range(PAIRS, len(at), PAIRS))])
+        best = np.argsort(-score, kind="stable")[:k]
+        found.append((np.full(len(best), row), at[best], score[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -140,38 +159,32 @@ def neighbours(vectors: DataFrame, queries: DataFrame, scratch: Scratch, k: int
             for lo in range(0, len(ids), 2048):
                 x = vec.slice(lo, 2048).flatten().to_numpy().reshape(-1, dim)
                 packed = b.pack(b.codes(b.cut(x)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, 2048), pa.array([p.tobytes() for p in packed], pa.binary())], ["vec_id", "code"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, 2048), vec.slice(lo, 2048), pa.array([p.tobytes() for p in packed], pa.binary())], ["vec_id", "vec", "code"])
 
-    index = mapped(data, encode, "vec_id bigint, code binary").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    index = mapped(data, encode, "vec_id bigint, vec array<double>, code binary").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     index = scratch.write(index, "index")
     left = asked.withColumns({"part": F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(sets)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
     right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
 
     def search(q: pa.Table, d: pa.Table) -> pa.Table:
         b = book.value
-        ids, found = d["vec_id"].to_numpy(), {"query_id": [], "vec_id": [], "near": []}
-        if len(ids) and q.num_rows:
+        found = {"query_id": [], "vec_id": [], "score": []}
+        if d.num_rows and q.num_rows:
+            d = d.select(["vec_id", "code", "vec"]).sort_by("vec_id").combine_chunks()
+            ids = d["vec_id"].to_numpy()
             packed = np.frombuffer(b"".join(d["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")
-            ids, packed = ids[order], packed[order]
+            vec = d["vec"].combine_chunks().flatten().to_numpy().reshape(len(ids), dim)
             qid, qv = q["query_id"].to_numpy(), np.array(q["vec"].to_pylist(), float)
             for lo in range(0, len(qid), 64):
                 near = scan(b.tables(qv[lo : lo + 64]), packed)
-                near[qid[lo : lo + 64, None] == ids[None, :]] = -np.inf
-                m = min(CANDIDATES, len(ids))
-                top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(ids) else np.broadcast_to(np.arange(m), (len(near), m))
-                value = np.take_along_axis(near, top, 1)
-                ok = np.isfinite(value)
-                found["query_id"].append(np.repeat(qid[lo : lo + 64], ok.sum(1)))
-                found["vec_id"].append(ids[top][ok])
-                found["near"].append(value[ok])
-        kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32()))
+                near[(qid[lo : lo + 64, None] == ids[None, :]) | np.isnan(near)] = -np.inf
+                row, at, score = nearest(near, k, qv[lo : lo + 64], vec)
+                found["query_id"].append(qid[lo : lo + 64][row])
+                found["vec_id"].append(ids[at])
+                found["score"].append(score)
+        kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
         return pa.table({n: pa.array(np.concatenate(found[n]) if found[n] else [], t) for n, t in kinds})
 
-    close = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    kept = close.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= CANDIDATES).select("query_id", "vec_id").distinct()
-    exact = kept.join(data.withColumnRenamed("vec", "v"), "vec_id").join(asked.withColumnRenamed("vec", "q"), "query_id")
-    ranked = exact.select("query_id", "vec_id", cosine("q", "v").alias("score"))
+    ranked = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return ranked.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -236,3 +236,24 @@ def test_pipeline_stages(spark, odd, none, tmp_path):
             out.write.parquet(f"{tmp_path}/{many}{k}")
             docs = spark.read.parquet(f"{tmp_path}/{many}{k}")
         assert (docs.count() > 0) == many
+
+
+def test_nearest_among_many_copies_and_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24))
+    copies, close = rng.permutation(3000)[:2000], None
+    copies, close = copies[:1200], copies[1200:]
+    x[copies] = rng.normal(size=24)
+    x[close] = rng.normal(size=24) + 1e-5 * rng.normal(size=(800, 24))  # of one code, but not equal
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [*copies[:5].tolist(), *close[:5].tolist()]
+    got = {}
+    for r in nearest.neighbours(df, df.filter(df.vec_id.isin(asked)), Scratch(spark)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in asked[:5]:
+        assert got[q] == [i for i in sorted(copies.tolist()) if i != q][:5]
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in asked[5:]:
+        c = -((y - y[q]) ** 2).sum(1)
+        c[q] = -9
+        assert set(got[q]) == set(np.argsort(-c)[:5].tolist())
