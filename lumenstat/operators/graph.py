@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.85, teleport: DataFrame | None = None) -> DataFrame:
-    """``nodes``: id; ``edges``: src, dst, distinct. ``teleport``: id, weight, for personal ranks (none: all alike). Returns id, rank after ``steps`` steps. Lineage is cut by checkpoint()."""
+def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.85, teleport: DataFrame | None = None, tol: float | None = None) -> DataFrame:
+    """``nodes``: id; ``edges``: src, dst, distinct. ``teleport``: id, weight, for personal ranks (none: all alike). Returns id, rank after ``steps`` steps, or after the first that moves all ranks together by less than ``tol``. Lineage is cut by checkpoint()."""
     sc = nodes.sparkSession.sparkContext
     if not (nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenstat-"))
@@ -22,6 +22,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
     else:
         every = teleport.join(nodes, "id", "left_semi").agg(F.sum("weight").alias("every"))
         nodes = nodes.join(teleport, "id", "left").crossJoin(F.broadcast(every)).select("id", (F.coalesce("weight", F.lit(0.0)) / F.col("every")).alias("jump"))  # one row
+    now = ranks
     for step in range(steps):
         sent = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         loose = ranks.join(degree, ranks["id"] == degree["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
@@ -29,7 +30,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
         raw = new.select("id", ((1 - damping) * F.col("jump") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("jump"))).alias("raw"))
         total = raw.agg(F.sum("raw").alias("total"))
         ranks = raw.crossJoin(F.broadcast(total)).select("id", (F.col("raw") / F.col("total")).alias("rank"))
-        if step + 1 < steps:  # each step reads the ranks four times, so the plan must not keep its past
+        if tol is not None:
+            old, ranks = now, ranks.checkpoint()
+            now = ranks
+            moved = ranks.join(old.select("id", F.col("rank").alias("old")), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+            if moved is None or moved < tol:
+                break
+        elif step + 1 < steps:  # each step reads the ranks four times, so the plan must not keep its past
             ranks = ranks.checkpoint()
     return ranks
 

@@ -51,10 +51,22 @@ def pagerank_parts(spark, d):
     return rounded(graph.pagerank(nodes, e, 2), 8)
 
 
+def graph_all(spark, d):
+    """nodes (id), edges (src, dst): every part and supplier is a node (2 part key, 2 supplier key + 1), every lineitem links its part to its supplier."""
+    items = table(spark, d, "lineitem").select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).dropna().distinct()
+    nodes = table(spark, d, "part").select((2 * F.col("p_partkey")).alias("id")).union(table(spark, d, "supplier").select(2 * F.col("s_suppkey") + 1))
+    return nodes.union(items.select("src")).union(items.select("dst")).distinct(), items
+
+
+def pagerank_all(spark, d):
+    """Of the whole graph, to an L1 change below 1e-12, 10,000 steps at most."""
+    return rounded(graph.pagerank(*graph_all(spark, d), 10_000, tol=1e-12), 12)
+
+
 _B = "WITH b AS (SELECT DISTINCT l_orderkey AS txn, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT count(DISTINCT txn) AS t FROM b), s AS (SELECT item, count(*) AS n FROM b GROUP BY 1)"
 _V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 _STEP = "{to} AS (SELECT id, raw / sum(raw) OVER () AS r FROM (SELECT n.id, 0.15/64 + 0.85*(coalesce(g.got,0) + (SELECT coalesce(sum(r),0) FROM {fr} WHERE id NOT IN (SELECT src FROM dg))/64) AS raw FROM n LEFT JOIN (SELECT dst, sum(r/deg) AS got FROM e JOIN dg USING (src) JOIN {fr} ON {fr}.id = e.src GROUP BY dst) g ON g.dst = n.id))"
-QUERIES = {f.__name__: f for f in (class_centroids, knn_vote, kmeans_step, itemsets, rules, pagerank_parts)}
+QUERIES = {f.__name__: f for f in (class_centroids, knn_vote, kmeans_step, itemsets, rules, pagerank_parts, pagerank_all)}
 ORACLES = {
     "class_centroids": _V + ", u AS (SELECT label, unnest(v) AS x, generate_subscripts(v,1)-1 AS i FROM v) SELECT label, i::BIGINT AS i, round(avg(x),6) AS mean, round(var_samp(x),6) AS var, count(*) AS n FROM u GROUP BY ALL",
     "knn_vote": _V + ", p AS (SELECT q.vec_id AS query_id, q.label AS own, v.label, list_distance(q.v, v.v) AS dist, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, v.v), v.vec_id) AS rk FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) SELECT query_id, round(avg(CASE WHEN label = own THEN 1.0 ELSE 0.0 END)::DOUBLE,6) AS own_share, round(avg(dist),6) AS mean_dist FROM p WHERE rk <= 5 GROUP BY 1",

@@ -97,6 +97,14 @@ def graph_transition(spark, d):
     return rounded(graph.transition(_edges(spark, d)))
 
 
+def graph_degrees_all(spark, d):
+    return graph.degrees(*learn.graph_all(spark, d))
+
+
+def graph_transition_all(spark, d):
+    return rounded(graph.transition(learn.graph_all(spark, d)[1]))
+
+
 def cluster_sums(spark, d):
     return rounded(cluster.sums_of_squares(_parts(spark, d), "p_type", ["a", "b"]), 4)
 
@@ -114,6 +122,7 @@ _P = "WITH p AS (SELECT p_partkey, p_type, p_brand, p_size/50.0::DOUBLE AS s, p_
 _D = f"WITH x AS (SELECT event_id%{CHAINS} AS chain, event_id//{CHAINS} AS step, value FROM events WHERE event_id < {DRAWS})"
 _A = _D + f", c AS (SELECT chain, step, value-avg(value) OVER (PARTITION BY chain) AS c FROM x), r AS (SELECT a.chain, lag, sum(a.c*b.c)/(SELECT sum(c*c) FROM c z WHERE z.chain=a.chain) AS rho FROM c a JOIN c b ON a.chain=b.chain, range({LAGS + 1}) t(lag) WHERE b.step=a.step-lag GROUP BY 1, 2)"
 _E = "WITH e AS (SELECT DISTINCT l_partkey%64 AS src, l_suppkey%64 AS dst FROM lineitem WHERE l_returnflag='R' AND l_quantity>40 AND l_partkey%64<>63)"
+_N = "WITH e AS (SELECT DISTINCT 2*l_partkey AS src, 2*l_suppkey+1 AS dst FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), n AS (SELECT 2*p_partkey AS id FROM part UNION SELECT 2*s_suppkey+1 FROM supplier UNION SELECT src FROM e UNION SELECT dst FROM e)"
 _I = learn.ORACLES["itemsets"]
 _UP = "WITH f AS (" + _I + "), g AS (SELECT *, string_split(itemset, ',') AS items FROM f) SELECT itemset, size, n, support FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.size>a.size AND list_has_all(b.items, a.items){})"
 
@@ -126,7 +135,7 @@ def _svc_sql() -> str:
     return sql + " SELECT round(u,6) AS w_size, round(v,6) AS w_price, round(c,6) AS b, round(obj,6) AS objective FROM t2"
 
 
-QUERIES = {f.__name__: f for f in (svc_two_steps, box_stats, prim_trajectory, covariance_matrix, principal_components, component_regression, chain_rhat, chain_autocorrelation, chain_effective_size, credible_interval, closed_itemsets, maximal_itemsets, graph_degrees, graph_transition, cluster_sums, cluster_rand, metropolis_normal)}
+QUERIES = {f.__name__: f for f in (svc_two_steps, box_stats, prim_trajectory, covariance_matrix, principal_components, component_regression, chain_rhat, chain_autocorrelation, chain_effective_size, credible_interval, closed_itemsets, maximal_itemsets, graph_degrees, graph_transition, graph_degrees_all, graph_transition_all, cluster_sums, cluster_rand, metropolis_normal)}
 ORACLES = {
     "svc_two_steps": _svc_sql(),
     "box_stats": _P + ", i AS (SELECT CASE WHEN a BETWEEN 10 AND 40 AND b BETWEEN 0.4 AND 1.2 THEN y END AS z FROM p) SELECT count(z) AS n, round(count(z)/count(*),6) AS support, round(avg(z),6) AS mean, round(quantile_cont(z,0.5),6) AS median FROM i",
@@ -140,6 +149,8 @@ ORACLES = {
     "maximal_itemsets": _UP.format(""),
     "graph_degrees": _E + ", o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM e GROUP BY 1) SELECT range AS id, coalesce(o,0) AS out_degree, coalesce(i,0) AS in_degree, o IS NULL AS dangling FROM range(64) LEFT JOIN o ON src=range LEFT JOIN i ON dst=range",
     "graph_transition": _E + " SELECT src, dst, round(1.0/count(*) OVER (PARTITION BY src),6)::DOUBLE AS probability FROM e",
+    "graph_degrees_all": _N + ", o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM e GROUP BY 1) SELECT id, coalesce(o,0) AS out_degree, coalesce(i,0) AS in_degree, o IS NULL AS dangling FROM n LEFT JOIN o ON src=id LEFT JOIN i ON dst=id",
+    "graph_transition_all": _N + " SELECT src, dst, round(1.0/count(*) OVER (PARTITION BY src),6)::DOUBLE AS probability FROM e",
     "cluster_sums": _P + ", g AS (SELECT p_type, var_pop(a)*count(*)+var_pop(b)*count(*) AS w FROM p GROUP BY 1), t AS (SELECT var_pop(a)*count(*)+var_pop(b)*count(*) AS t FROM p), s AS (SELECT sum(w) AS w FROM g) SELECT round(t,4) AS total, round(w,4) AS within, round(t-w,4) AS between FROM t, s",
     "cluster_rand": _P + ", c AS (SELECT sum(n*(n-1)/2) AS c FROM (SELECT count(*) AS n FROM p GROUP BY p_type, p_brand)), x AS (SELECT sum(n*(n-1)/2) AS x FROM (SELECT count(*) AS n FROM p GROUP BY p_type)), y AS (SELECT sum(n*(n-1)/2) AS y FROM (SELECT count(*) AS n FROM p GROUP BY p_brand)), t AS (SELECT count(*)*(count(*)-1)/2 AS t FROM p) SELECT round((t+2*c-x-y)/t,6) AS rand, round((c-x*y/t)/((x+y)/2-x*y/t),6) AS adjusted FROM c, x, y, t",
 }

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lumenstat.operators import order
+from lumenstat.operators.graph import pagerank
 from lumenstat.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,21 @@ def test_placed_ranks_in_order_of_a_gappy_key(spark):
     ids = sorted(np.random.default_rng(1).choice(10**12, 500, replace=False).tolist()) + [10**15]
     got = order.placed(spark.createDataFrame([(i - 10**6,) for i in ids], "id long"), "id", "i", 7).orderBy("id").collect()
     assert [r["i"] for r in got] == list(range(501))
+
+
+@pytest.mark.parametrize("name", ["graph_degrees_all", "graph_transition_all"])
+def test_graph_of_all_lineitems_equals_sql(spark, name):
+    same(spark, name)
+
+
+def test_pagerank_to_tolerance_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n, edges = 40, {(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a not in (3, 7)}
+    step = np.zeros((n, n))
+    for a, b in edges:
+        step[a, b] = 1
+    out = step.sum(1, keepdims=True)
+    step = np.where(out > 0, step / np.maximum(out, 1), 1 / n)
+    want = np.linalg.solve(np.eye(n) - 0.85 * step.T, np.full(n, 0.15 / n))
+    got = pagerank(spark.range(n), spark.createDataFrame(sorted(edges), "src long, dst long"), 10_000, tol=1e-9).orderBy("id").collect()
+    assert np.abs(np.array([r["rank"] for r in got]) - want).sum() < 1e-8
