@@ -37,19 +37,31 @@ def rhat(draws: DataFrame) -> DataFrame:
     return per.agg(F.sqrt(((n - 1) / n * within + F.var_samp("m")) / within).alias("rhat"))
 
 
-def autocorrelations(draws: DataFrame, lags: int) -> DataFrame:
-    """chain, lag, rho: with the chain's mean and full sum of squares. Each value is sent to its later partners, not sorted."""
-    w = Window.partitionBy("chain")
-    c = draws.select("chain", "step", (F.col("value") - F.avg("value").over(w)).alias("c"))
-    later = c.select("chain", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "c", "step").select("chain", "lag", (F.col("step") + F.col("lag")).alias("step"), F.col("c").alias("before"))
+def autocorrelations(draws: DataFrame, lags: int, first: int = 1) -> DataFrame:
+    """chain, lag, rho of lag 0 and of ``first`` to ``lags``: with the chain's mean and full sum of squares. Each value is sent to its later partners, not sorted."""
+    means = draws.groupBy("chain").agg(F.avg("value").alias("m"))
+    c = draws.join(F.broadcast(means), "chain").select("chain", "step", (F.col("value") - F.col("m")).alias("c"))  # a row a chain
+    wanted = F.concat(F.array(F.lit(0)), F.sequence(F.lit(first), F.lit(lags)))
+    later = c.select("chain", F.explode(wanted).alias("lag"), "c", "step").select("chain", "lag", (F.col("step") + F.col("lag")).alias("step"), F.col("c").alias("before"))
     sums = c.join(later, ["chain", "step"]).groupBy("chain", "lag").agg(F.sum(F.col("c") * F.col("before")).alias("s"))
     total = sums.filter("lag = 0").select("chain", F.col("s").alias("all"))
     return sums.join(total, "chain").select("chain", "lag", (F.col("s") / F.col("all")).alias("rho"))
 
 
 def effective_size(draws: DataFrame, lags: int = 1000) -> DataFrame:
-    """chain, n, ess: n / (1 + 2 sum of rho), the sum ending before the first negative rho."""
-    rho = autocorrelations(draws, lags).filter("lag > 0")
-    stop = rho.filter("rho < 0").groupBy("chain").agg(F.min("lag").alias("stop"))
-    used = rho.join(stop, "chain", "left").groupBy("chain").agg(F.sum(F.when(F.col("stop").isNull() | (F.col("lag") < F.col("stop")), F.col("rho")).otherwise(0.0)).alias("s"))
-    return draws.groupBy("chain").agg(F.count("*").alias("n")).join(used, "chain").select("chain", "n", (F.col("n") / (1 + 2 * F.col("s"))).alias("ess"))
+    """chain, n, ess: n / (1 + 2 sum of rho), the sum ending before the first negative rho. Lags are taken in growing runs, until each chain has had a negative one."""
+    sizes = {r["chain"]: r["count"] for r in draws.groupBy("chain").count().collect()}
+    sums, going, first, last = dict.fromkeys(sizes, 0.0), set(sizes), 1, 8
+    while going and first <= lags:
+        last = min(last, lags)
+        rows = autocorrelations(draws.filter(F.col("chain").isin(list(going))), last, first).filter("lag > 0").orderBy("lag").collect()
+        seen = {r["chain"] for r in rows}
+        for r in rows:
+            if r["chain"] in going and r["rho"] is not None and r["rho"] < 0:
+                going.discard(r["chain"])
+            elif r["chain"] in going:
+                sums[r["chain"]] += r["rho"] or 0.0
+        going &= seen  # the others are shorter than the lag
+        first, last = last + 1, 4 * last
+    kind = draws.schema["chain"].dataType.simpleString()
+    return draws.sparkSession.createDataFrame([(c, n, n / (1 + 2 * sums[c])) for c, n in sizes.items()], f"chain {kind}, n long, ess double")

@@ -69,8 +69,32 @@ def chain_effective_size(spark, d):
     return rounded(chains.effective_size(_draws(spark, d), LAGS), 4)
 
 
+def _intervals(draws):
+    return draws.groupBy("chain").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.975).alias("high"))
+
+
 def credible_interval(spark, d):
-    return rounded(_draws(spark, d).groupBy("chain").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.5).alias("median"), F.percentile("value", 0.975).alias("high")), 6)
+    return rounded(_intervals(_draws(spark, d)), 6)
+
+
+def _all_draws(spark, d):
+    return table(spark, d, "events").select((F.col("event_id") % CHAINS).alias("chain"), F.floor(F.col("event_id") / CHAINS).alias("step"), "value")
+
+
+def chain_rhat_all(spark, d):
+    return rounded(chains.rhat(_all_draws(spark, d)), 6)
+
+
+def chain_autocorrelation_all(spark, d):
+    return rounded(chains.autocorrelations(_all_draws(spark, d), LAGS).select("chain", F.col("lag").cast("int").alias("lag"), "rho"), 6)
+
+
+def chain_effective_size_all(spark, d):
+    return rounded(chains.effective_size(_all_draws(spark, d)), 4)
+
+
+def credible_interval_all(spark, d):
+    return rounded(_intervals(_all_draws(spark, d)), 6)
 
 
 def _found(spark, d):
@@ -135,7 +159,9 @@ def _svc_sql() -> str:
     return sql + " SELECT round(u,6) AS w_size, round(v,6) AS w_price, round(c,6) AS b, round(obj,6) AS objective FROM t2"
 
 
-QUERIES = {f.__name__: f for f in (svc_two_steps, box_stats, prim_trajectory, covariance_matrix, principal_components, component_regression, chain_rhat, chain_autocorrelation, chain_effective_size, credible_interval, closed_itemsets, maximal_itemsets, graph_degrees, graph_transition, graph_degrees_all, graph_transition_all, cluster_sums, cluster_rand, metropolis_normal)}
+_DA = f"WITH x AS (SELECT event_id%{CHAINS} AS chain, event_id//{CHAINS} AS step, value FROM events)"
+_AA = _DA + f", c AS (SELECT chain, step, value-avg(value) OVER (PARTITION BY chain) AS c FROM x), v AS (SELECT chain, sum(c*c) AS v FROM c GROUP BY 1), l AS (SELECT chain, step-lag AS step, c, lag FROM c, range({LAGS + 1}) t(lag)) SELECT a.chain, a.lag::INT AS lag, round(sum(a.c*b.c)/any_value(v),6) AS rho FROM l a JOIN c b ON a.chain=b.chain AND a.step=b.step JOIN v ON v.chain=a.chain GROUP BY 1, 2"
+QUERIES = {f.__name__: f for f in (svc_two_steps, box_stats, prim_trajectory, covariance_matrix, principal_components, component_regression, chain_rhat, chain_autocorrelation, chain_effective_size, credible_interval, chain_rhat_all, chain_autocorrelation_all, chain_effective_size_all, credible_interval_all, closed_itemsets, maximal_itemsets, graph_degrees, graph_transition, graph_degrees_all, graph_transition_all, cluster_sums, cluster_rand, metropolis_normal)}
 ORACLES = {
     "svc_two_steps": _svc_sql(),
     "box_stats": _P + ", i AS (SELECT CASE WHEN a BETWEEN 10 AND 40 AND b BETWEEN 0.4 AND 1.2 THEN y END AS z FROM p) SELECT count(z) AS n, round(count(z)/count(*),6) AS support, round(avg(z),6) AS mean, round(quantile_cont(z,0.5),6) AS median FROM i",
@@ -145,6 +171,9 @@ ORACLES = {
     "chain_autocorrelation": _A + " SELECT chain, lag::INT AS lag, round(rho,6) AS rho FROM r",
     "chain_effective_size": _A + f", s AS (SELECT chain, coalesce(min(lag) FILTER (rho<0 AND lag>0), {LAGS + 1}) AS stop FROM r GROUP BY 1), n AS (SELECT chain, count(*) AS n FROM x GROUP BY 1) SELECT chain, any_value(n) AS n, round(any_value(n)/(1+2*sum(CASE WHEN lag>0 AND lag<stop THEN rho ELSE 0 END)),4) AS ess FROM r JOIN s USING (chain) JOIN n USING (chain) GROUP BY 1",
     "credible_interval": _D + " SELECT chain, round(avg(value),6) AS mean, round(quantile_cont(value,0.025),6) AS low, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.975),6) AS high FROM x GROUP BY 1",
+    "chain_rhat_all": _DA + ", m AS (SELECT chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM x GROUP BY 1) SELECT round(sqrt(((max(n)-1)/max(n)*avg(v)+var_samp(m))/avg(v)),6) AS rhat FROM m",
+    "chain_autocorrelation_all": _AA,
+    "credible_interval_all": _DA + " SELECT chain, round(avg(value),6) AS mean, round(quantile_cont(value,0.025),6) AS low, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.975),6) AS high FROM x GROUP BY 1",
     "closed_itemsets": _UP.format(" AND b.n=a.n"),
     "maximal_itemsets": _UP.format(""),
     "graph_degrees": _E + ", o AS (SELECT src, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM e GROUP BY 1) SELECT range AS id, coalesce(o,0) AS out_degree, coalesce(i,0) AS in_degree, o IS NULL AS dangling FROM range(64) LEFT JOIN o ON src=range LEFT JOIN i ON dst=range",

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lumenstat.operators import order
+from lumenstat.operators import chains, order
 from lumenstat.operators.graph import pagerank
 from lumenstat.plans import registry
 
@@ -64,3 +64,20 @@ def test_pagerank_to_tolerance_equals_brute_force(spark):
     want = np.linalg.solve(np.eye(n) - 0.85 * step.T, np.full(n, 0.15 / n))
     got = pagerank(spark.range(n), spark.createDataFrame(sorted(edges), "src long, dst long"), 10_000, tol=1e-9).orderBy("id").collect()
     assert np.abs(np.array([r["rank"] for r in got]) - want).sum() < 1e-8
+
+
+@pytest.mark.parametrize("name", ["chain_rhat_all", "chain_autocorrelation_all", "credible_interval_all"])
+def test_chains_of_all_events_equal_sql(spark, name):
+    same(spark, name)
+
+
+def test_effective_size_goes_on_past_eight_lags(spark):
+    rng = np.random.default_rng(6)
+    v = np.convolve(rng.normal(size=1300), np.ones(60), "valid")
+    df = spark.createDataFrame([(0, t, float(x)) for t, x in enumerate(v)], "chain long, step long, value double")
+    c, s, lag = v - v.mean(), 0.0, 1
+    while (rho := c[lag:] @ c[:-lag] / (c @ c)) >= 0:
+        s, lag = s + rho, lag + 1
+    assert lag > 9 and chains.effective_size(df).first()["ess"] == pytest.approx(len(v) / (1 + 2 * s))
+    sizes = registry.queries()["chain_effective_size_all"](spark, SF).toPandas()
+    assert sizes.n.sum() == 1000
