@@ -63,6 +63,18 @@ def best_subset(spark, d):
     return rounded(spark.createDataFrame(rows, "model string, size int, mse double"), 2)
 
 
+def best_subset_all(spark, d):
+    """Every subset of the predictors, from the mean alone to all of them; best: the least error of its size."""
+    names = [*X, "l_tax"]
+    full, rows = matrix(gram(_items(spark, d), names, Y).first(), 5), []
+    for mask in range(1 << len(names)):
+        ix = [0, *[i + 1 for i in range(len(names)) if mask >> i & 1]]
+        b = np.linalg.solve(full[np.ix_(ix, ix)], full[ix, 4])
+        rows.append((",".join(names[i - 1] for i in ix[1:]), len(ix) - 1, float((full[4, 4] - b @ full[ix, 4]) / full[0, 0])))
+    least = {k: min(r[2] for r in rows if r[1] == k) for k in range(len(names) + 1)}
+    return rounded(spark.createDataFrame([(*r, r[2] == least[r[1]]) for r in rows], "model string, size int, mse double, best boolean"), 2)
+
+
 def ridge_path(spark, d):
     df = _items(spark, d)
     m, rows = matrix(gram(df, X, Y).first(), 4), []
@@ -145,7 +157,7 @@ def _subset_sql() -> str:
 
 
 _LEVELS = ", ".join(f"({x})" for x in LAMBDAS)
-QUERIES = {f.__name__: f for f in (ols_simple, ols_multi, ols_fit_stats, ols_leverage, loocv_ols, best_subset, ridge_path, standardize, lasso_univariate, lambda_max, elastic_net, group_summary, correlations, covariance_pca_share)}
+QUERIES = {f.__name__: f for f in (ols_simple, ols_multi, ols_fit_stats, ols_leverage, loocv_ols, best_subset, best_subset_all, ridge_path, standardize, lasso_univariate, lambda_max, elastic_net, group_summary, correlations, covariance_pca_share)}
 ORACLES = {
     "ols_simple": "SELECT round(regr_slope(l_extendedprice,l_quantity),4) AS slope, round(regr_intercept(l_extendedprice,l_quantity),4) AS intercept, round(regr_r2(l_extendedprice,l_quantity),4) AS r2 FROM lineitem",
     "ols_multi": _M + """, t AS (SELECT '(intercept)' AS term, b0 AS estimate, sqrt(s2*(1/n + (ma*ma*sbb-2*ma*mb*sab+mb*mb*saa)/det)) AS std_error FROM s UNION ALL

@@ -81,3 +81,14 @@ def test_effective_size_goes_on_past_eight_lags(spark):
     assert lag > 9 and chains.effective_size(df).first()["ess"] == pytest.approx(len(v) / (1 + 2 * s))
     sizes = registry.queries()["chain_effective_size_all"](spark, SF).toPandas()
     assert sizes.n.sum() == 1000
+
+
+def test_best_subset_has_every_model(spark):
+    d = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
+    got = registry.queries()["best_subset_all"](spark, SF).toPandas()
+    assert len(got) == 8 and got.best.sum() == 4 and got.loc[got.mse.idxmin(), "size"] == 3
+    for r in got.itertuples():
+        x = np.column_stack([np.ones(len(d)), *[d[c] for c in r.model.split(",") if c]])
+        y = d.l_extendedprice.to_numpy()
+        b, *_ = np.linalg.lstsq(x, y, rcond=None)
+        assert r.mse == pytest.approx(((y - x @ b) ** 2).mean(), abs=0.02)
