@@ -95,7 +95,7 @@ class Chain:
         keep = slot[at] >= 0
         self.scale = np.abs(np.log(p[best] * (1 - q[best]) / (q[best] * (1 - p[best])))).astype(np.float32)  # what tells the kinds apart weighs more
         x[row[keep], slot[at[keep]]] = self.scale[slot[at[keep]]]
-        kinds = sorted({k for k, t in zip(langs, toxic, strict=True) if t and k is not None})[:8]
+        kinds = sorted({k for k, t in zip(langs, toxic, strict=True) if t and k is not None})
         targets = [(f"toxic_{k}", toxic * np.array([v == k for v in langs])) for k in kinds] + [("toxic", toxic)]
         earlier = np.zeros((len(docs), 0), np.float32)
         for name, y in targets:

@@ -257,3 +257,11 @@ def test_nearest_among_many_copies_and_near_copies(spark):
         c = -((y - y[q]) ** 2).sum(1)
         c[q] = -9
         assert set(got[q]) == set(np.argsort(-c)[:5].tolist())
+
+
+def test_toxicity_has_a_link_for_each_of_many_languages():
+    langs = [f"l{k:02d}" for k in range(12) for _ in range(6)]
+    toxic = np.array([1.0, 1, 1, 0, 0, 0] * 12)
+    docs = [np.unique(np.array([10 + int(k[1:]), 1 if t else 2], np.uint64)) for k, t in zip(langs, toxic)]
+    chain = toxicity.Chain().fit(docs, toxic, langs, np.arange(len(langs)) % toxicity.FOLDS)
+    assert chain.names == [*[f"toxic_l{k:02d}" for k in range(12)], "toxic"]
