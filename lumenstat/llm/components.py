@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenstat.llm.shared import Scratch
@@ -27,8 +27,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = _to_least(both, "large").filter("u <> v").distinct()
         # the lesser neighbours of each node
         small = _to_least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "small").filter("u <> v").distinct()
-        edges = scratch.write(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        edges = scratch.write(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = (seen.get["n"], seen.get["sum"])
         if now == before or not now[0]:
             break
         before = now

@@ -8,17 +8,21 @@ so that frequent lines and passages come last), then hash. Any such order is rig
 sets that link share one of their first ``n - ceil(percent * n / 100) + 1`` shingles. Documents of equal
 sets are one node; nodes of equal size and prefix are one group, and only groups are indexed by shingle.
 
-Links are found in rounds, so that a large group of near copies never becomes all its pairs. First each
-group meets only one group of each shingle's list, picked by a hash of shingle and group so that lists differ in it. Two more such rounds
-follow for groups not connected yet. Then the lists are searched for all pairs of groups still not connected. Group pairs are filtered by size and by their common prefix, expanded to
-members, and verified on whole sets. Thus all components are exact, while links within a component that
-the first round has connected need not be spelled out. From the second round on, signatures (the parity of
-the shingles in each cell, of the prefix and, in groups of one member, of the whole set) are part of the join's
-condition: two signatures differ in no more bits than the sets differ in shingles, so that a pair that
-fails cannot link.
+Links are found in two rounds, so that a large group of near copies never becomes all its pairs. First each
+group meets only HUBS groups of each shingle's list, picked by hashes of shingle and group so that lists differ in
+them. Then the lists are searched for all pairs of groups still not connected. Group pairs are filtered by size, by
+the places of their shingle, by signatures and by their common prefix, expanded to members, and verified on whole
+sets. Thus all components are exact, while links within a component that the first round has connected need not be
+spelled out. A signature holds the parity of the shingles in each cell, of the prefix and, in groups of one member,
+of the whole set: two signatures differ in no more bits than the sets differ in shingles, so that a pair that fails
+cannot link.
+
+What meets on the driver is of fixed size: half a byte for each cell of the sketch, which is summed on the
+executors, and a bitmap of the documents whose whole sets are wanted (a hashed filter, made exact by a join).
+A text's shingles are held in one task's memory, at some 60 bytes a word.
 
 Null texts count as empty; null ids take no part in the least id. Repeated rows are one node. Extra
-columns are ignored.
+columns are ignored. An empty table gives an empty result. Equal similarity is no tie here: all links count.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenstat.llm.components import components
@@ -36,13 +40,13 @@ from lumenstat.llm.words import Batch, mix, shingles
 
 SKETCH_BITS = 22  # counters of the frequency sketch; 4 bits each are broadcast
 SIGN_BITS = {"bits": 256, "whole": 512}  # bits of the signatures of a prefix and of a whole set, multiples of 64
-ROUNDS = 4  # of links, the last over all pairs that are then open
-MASK_BITS = 24  # bits of the set of documents whose whole sets are wanted; the rest is left to the join
+HUBS = 3  # groups of each list that all others meet in the first round
+MASK_BITS = (16, 28)  # least and most bits, as powers of two, of the bitmap of documents whose whole sets are wanted; the rest is left to the join
 BLOCK = 1 << 12
 
 
-def frequency_classes(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Class 0 to 15 of each of 2**bits cells by how often its shingles occur; computed from every document."""
+def frequency_classes(docs: DataFrame, width: int, scratch: Scratch, bits: int = SKETCH_BITS) -> bytes:
+    """Class 0 to 15 of each of 2**bits cells by how often its shingles occur, packed by two; computed from every document."""
     size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +57,11 @@ def frequency_classes(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> n
                 found = shingles(Batch(texts[lo:hi]), width)
                 wait += [(x & np.uint64(size - 1)).astype(np.int64) for x in found]
                 n += sum(map(len, found))
-                if n > 2_000_000:
-                    total += np.bincount(np.concatenate(wait), minlength=size).astype(np.uint32)
+                if n > 1_000_000:
+                    np.add(total, np.bincount(np.concatenate(wait), minlength=size), out=total, casting="unsafe")
                     wait, n = [], 0
         if n:
-            total += np.bincount(np.concatenate(wait), minlength=size).astype(np.uint32)
+            np.add(total, np.bincount(np.concatenate(wait), minlength=size), out=total, casting="unsafe")
         cells = total.reshape(-1, BLOCK)
         some = np.flatnonzero(cells.any(1))
         for lo in range(0, len(some), 256):
@@ -71,16 +75,23 @@ def frequency_classes(docs: DataFrame, width: int, bits: int = SKETCH_BITS) -> n
                 block = k
                 total += np.frombuffer(x, "<u4")
         if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary())], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["block", "cells", "n"])
+
+    def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cells = np.frombuffer(x, "<u8")
+                kind = np.where(cells > usual, np.minimum(1 + np.log2(np.maximum(cells, 1) / usual), 15), 0).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(kind)], pa.binary())], ["block", "cells"])
 
     parts = mapped(docs.select("text"), count, "block int, cells binary")
-    sums = parts.groupBy("block").applyInArrow(add, "block int, cells binary")
-    out = np.zeros((size // BLOCK, BLOCK), np.uint64)
-    for row in sums.toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["cells"], "<u8")
-    flat = out.reshape(-1)
-    usual = 4 + 2 * flat.sum() / size
-    return np.where(flat > usual, np.minimum(1 + np.log2(np.maximum(flat, 1) / usual), 15), 0).astype(np.uint8)
+    sums = scratch.write(parts.groupBy("block").applyInArrow(add, "block int, cells binary, n long"), "sketch")
+    usual = 4 + 2 * (sums.agg(F.sum("n")).first()[0] or 0) / size
+    out = bytearray(size // 2)
+    for row in mapped(sums.select("block", "cells"), graded, "block int, cells binary").collect():
+        out[row["block"] * BLOCK // 2 : (row["block"] + 1) * BLOCK // 2] = row["cells"]
+    scratch.drop(sums)
+    return bytes(out)
 
 
 def ordered(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -111,7 +122,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.stack([raw & 15, raw >> 4], 1).reshape(-1)
 
 
-def _sets(docs: DataFrame, width: int, percent: int, classes: object, extra: list[str], mask: object = None) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int, classes: object, extra: list[str], mask: object = None, mask_bits: int = 0) -> DataFrame:
     """doc_id, node, n, tokens, bits, whole: the prefix of each document's set and the signatures; with a mask, whole sets, unsigned, of documents that it has."""
     signs = list(SIGN_BITS) if mask is None else []
     own = ["doc_id", "node", "n", "tokens", *signs]
@@ -124,7 +135,7 @@ def _sets(docs: DataFrame, width: int, percent: int, classes: object, extra: lis
             texts, ids = as_bytes(b.column(1)), b.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             for lo, hi in pieces([len(t) for t in texts]):
                 nodes, sizes, out, rows, sets = [], [], [], [], []
-                take = range(lo, hi) if wanted is None else [i for i, at in zip(range(lo, hi), (ids[lo:hi] & ((1 << MASK_BITS) - 1)).tolist(), strict=True) if wanted[at >> 3] >> (at & 7) & 1]
+                take = range(lo, hi) if wanted is None else [i for i, at in zip(range(lo, hi), (ids[lo:hi] & ((1 << mask_bits) - 1)).tolist(), strict=True) if wanted[at >> 3] >> (at & 7) & 1]
                 for i, found in zip(take, shingles(Batch([texts[i] for i in take]), width), strict=True):
                     # the node is a hash of the whole set; the empty set has node 0
                     node = np.int64(0) if not len(found) else (mix(np.bitwise_xor.reduce(mix(found ^ np.uint64(0x5BD1E995)))[None] + found.sum(dtype=np.uint64))).view(np.int64)[0]
@@ -148,13 +159,13 @@ def _sets(docs: DataFrame, width: int, percent: int, classes: object, extra: lis
     return mapped(docs.select("doc_id", "text", *extra), run, ", ".join(f"{c} {'array<bigint>' if c in ('tokens', *signs) else 'bigint'}" for c in own) + (f", {kinds}" if extra else ""))
 
 
-def _mask(spark: SparkSession, wanted: DataFrame) -> bytes:
-    """A bitmap of fixed size of the low bits of the ids wanted."""
-    at = F.coalesce("doc_id", F.lit(-1)).bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+def _mask(wanted: DataFrame, mask_bits: int) -> bytes:
+    """A bitmap of the low bits of the ids wanted."""
+    at = F.coalesce("doc_id", F.lit(-1)).bitwiseAND(F.lit((1 << mask_bits) - 1))
     bits = wanted.select((at + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
     step = 4096  # bytes of one bitmap
-    out = bytearray((1 << MASK_BITS) // 8)
-    for row in bits.toLocalIterator():
+    out = bytearray(max(step, (1 << mask_bits) // 8))
+    for row in bits.collect():
         out[(row["k"] - 1) * step : row["k"] * step] = row["bits"]
     return bytes(out)
 
@@ -187,10 +198,11 @@ def _signs_fit(x: str, y: str, percent: int) -> Column:
 
 def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", carry: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the least doc_id reachable by links), node, and ``carry`` (SQL, name) columns."""
-    spark, sc = scratch.spark, scratch.spark.sparkContext
+    sc = scratch.spark.sparkContext
     extra = [name for _, name in carry]
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(F.col(text_col)).alias("text"), *[F.expr(sql).alias(name) for sql, name in carry])
-    classes = sc.broadcast(_pack(frequency_classes(docs, width)))
+    mask_bits = min(max(docs.count().bit_length() + 2, MASK_BITS[0]), MASK_BITS[1])
+    classes = sc.broadcast(frequency_classes(docs, width, scratch))
     rows = scratch.write(_sets(docs, width, percent, classes, extra), "rows")
     # equal sets are one node; its least document lends the set
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), *[F.first(c).alias(c) for c in SIGN_BITS])
@@ -200,9 +212,8 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
     groups = nodes.join(heads, (nodes["gkey"] == heads["gkey"]) & (nodes["node"] == heads["g"])).select("g", "n", "tokens", "bits", F.when(F.col("k") == 1, F.col("whole")).alias("whole"))
     members, groups = scratch.write(members, "members"), scratch.write(groups, "groups")
     scratch.drop(nodes)
-    lists = groups.select("g", "n", F.posexplode("tokens").alias("at", "token"))
-    least = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("g", "token").alias("pick"), "g", "n", "at")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("token", "c")
-    shared = scratch.write(lists.join(least, "token"), "lists")  # lists of two groups or more
+    lists = groups.select("g", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("at", "token"))
+    shared = scratch.write(lists.join(lists.groupBy("token").count().filter("count > 1").select("token"), "token"), "lists")  # lists of two groups or more
 
     signs = groups.select("g", F.struct("n", F.size("tokens").alias("p"), F.element_at("tokens", -1).alias("last"), *SIGN_BITS).alias("sign"))
     prefixes = groups.select("g", "tokens", F.element_at("tokens", -1).alias("last"), F.size("tokens").alias("p"))
@@ -221,8 +232,8 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
         pairs = scratch.write(pairs.filter("u <> v").distinct(), "pairs")
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         wanted = scratch.write(members.join(ends, "node").select("node", "doc_id"), "wanted")
-        mask = sc.broadcast(_mask(spark, wanted))
-        full = _sets(docs, width, percent, classes, [], mask).join(wanted.withColumnRenamed("doc_id", "w"), "node", "left_semi")
+        mask = sc.broadcast(_mask(wanted, mask_bits))
+        full = _sets(docs, width, percent, classes, [], mask, mask_bits).join(wanted.withColumnRenamed("doc_id", "w"), "node", "left_semi")
         full = scratch.write(full.select("node", "n", "tokens").dropDuplicates(["node"]), "full")
         a, b = full.toDF("u", "nu", "tu"), full.toDF("v", "nv", "tv")
         found = pairs.join(a, "u").join(b, "v").filter(_links_enough(F.size(F.array_intersect("tu", "tv")), F.col("nu"), F.col("nv"), percent))
@@ -231,40 +242,35 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 4, percent: int = 85,
         mask.destroy()
         return out
 
-    # first round: each group and the picked group of each of its lists; within a group the least member
-    stars = shared.filter(_leads(F.col("c.at"), F.col("at"), F.col("c.n"), F.col("n"), percent)).filter(F.col("g") != F.col("c.g")).select(F.least("g", "c.g").alias("a"), F.greatest("g", "c.g").alias("b"), F.col("c.n").alias("n1"), F.col("n").alias("n2"))
-    stars = stars.filter(_sizes_fit(F.col("n1"), F.col("n2"), percent)).select("a", "b").distinct()
+    # first round: each group and the hubs of each of its lists; within a group the least member
+    picks = [F.min(F.struct(F.xxhash64("g", "token", F.lit(k)).alias("pick"), "g", "n", "at")) for k in range(HUBS)]
+    hubs = shared.groupBy("token").agg(F.array_distinct(F.array(*picks)).alias("hubs"))
+    stars = shared.join(hubs, "token").select("g", "n", "at", F.explode("hubs").alias("c")).filter(F.col("g") != F.col("c.g"))
+    stars = stars.filter(_leads(F.col("c.at"), F.col("at"), F.col("c.n"), F.col("n"), percent) & _sizes_fit(F.col("c.n"), F.col("n"), percent))
+    stars = stars.select(F.least("g", "c.g").alias("a"), F.greatest("g", "c.g").alias("b")).distinct()
     stars = stars.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").filter(_signs_fit("x", "y", percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     inner = members.filter("node <> g").select(F.col("g").alias("u"), F.col("node").alias("v"))
-    first = verified(possible(stars).toDF("u", "v").unionByName(inner))
-    labels = scratch.write(components(first, scratch), "labels")
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).select("g", "node", "n", "comp")
-
-    # later rounds: pairs of one list whose groups are not yet in one component; again stars, and all such pairs in the last
-    for k in range(1, ROUNDS):
-        placed = scratch.write(placed, "placed")
-        spans = placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        spanned = scratch.write(shared.select("token", "g", "at").join(spans, "g"), "spanned")
-        mixed = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h"), F.min(F.struct(F.xxhash64("g", "token", F.lit(k)).alias("pick"), "g")).alias("c")).filter("l < h")
-        entries = spanned.join(mixed.select("token", F.col("c.g").alias("star")), "token").join(signs, "g")
-        entries = scratch.write(entries.select("token", F.struct("g", "at", "lo", "hi").alias("e"), "sign", "star"), "open")
-        x, y = entries.toDF("token", "i", "x", "star"), entries.drop("star").toDF("token", "j", "y")
-        if k < ROUNDS - 1:
-            x = x.filter("i.g = star")
-        apart = F.expr("i.lo <> i.hi OR j.lo <> j.hi OR i.lo <> j.lo")
-        order = F.col("i.g") < F.col("j.g") if k == ROUNDS - 1 else F.col("i.g") != F.col("j.g")
-        fit = order & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _leads(F.col("i.at"), F.col("j.at"), F.col("x.n"), F.col("y.n"), percent) & apart & _signs_fit("x", "y", percent)
-        near = possible(x.join(y, "token").filter(fit).select(F.col("i.g").alias("a"), F.col("j.g").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
-        ends = placed.select("g", "node", "comp")
-        found = near.join(ends.toDF("a", "u", "cu"), "a").join(ends.toDF("b", "v", "cv"), "b").filter("cu <> cv").select("u", "v")
-        if k == ROUNDS - 1:
-            split = placed.join(spans.filter("lo < hi").select("g"), "g", "left_semi").select("g", "node", "comp")
-            found = found.unionByName(split.toDF("g", "u", "cu").join(split.toDF("g", "v", "cv"), "g").filter("u < v AND cu <> cv").select("u", "v"))
-        links = verified(found)
-        label = placed.select("node", "comp").distinct()
-        bridges = links.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        top = components(bridges, scratch).toDF("comp", "top")
-        placed = placed.join(top, "comp", "left").select("g", "node", "n", F.coalesce("top", "comp").alias("comp"))
+    labels = components(verified(possible(stars).toDF("u", "v").unionByName(inner)), scratch)
+    placed = scratch.write(members.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("comp")), "placed")
+
+    # second round: all pairs of one list whose groups are not yet in one component
+    spans = scratch.write(placed.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")), "spans")
+    spanned = scratch.write(shared.select("token", "g", "at").join(spans, "g"), "spanned")
+    mixed = spanned.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l < h").select("token")
+    entries = scratch.write(spanned.join(mixed, "token").join(signs, "g").select("token", F.struct("g", "at", "lo", "hi").alias("e"), "sign"), "open")
+    x, y = entries.toDF("token", "i", "x"), entries.toDF("token", "j", "y")
+    apart = F.expr("i.g < j.g AND (i.lo <> i.hi OR j.lo <> j.hi OR i.lo <> j.lo)")
+    fit = apart & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _leads(F.col("i.at"), F.col("j.at"), F.col("x.n"), F.col("y.n"), percent) & _signs_fit("x", "y", percent)
+    near = possible(x.join(y, "token").filter(fit).select(F.col("i.g").alias("a"), F.col("j.g").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+    ends = placed.select("g", "node", "comp")
+    split = placed.join(spans.filter("lo < hi").select("g"), "g", "left_semi")
+    found = near.join(ends.toDF("a", "u", "cu"), "a").join(ends.toDF("b", "v", "cv"), "b").filter("cu <> cv").select("u", "v")
+    links = verified(found.unionByName(split.toDF("g", "u", "cu").join(split.toDF("g", "v", "cv"), "g").filter("u < v AND cu <> cv").select("u", "v")))
+    classes.destroy()
+    label = placed.select("node", "comp")
+    bridges = links.join(label.toDF("u", "cu"), "u").join(label.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    top = components(bridges, scratch).toDF("comp", "top")
+    placed = placed.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     final = placed.select("node", "comp")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     comp = ids.join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
