@@ -6,12 +6,13 @@ three leaves and their ancestors. Short words are merged many at a time, a tree
 array; long ones in a tree of their own.
 
 Null and empty texts have no tokens. Each text is taken whole; special-token strings inside a text
-become their special ids, as the tokenizers library does by default. Repeated rows are encoded each.
+become their special ids, as the tokenizers library does by default. Repeated rows are encoded each; an empty
+table gives an empty result. Pairs of equal rank merge from the left. A text may be of any length that fits a task's
+memory, at some 200 bytes a character for its longest word and 10 for the rest.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -23,9 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenstat.llm.shared import filled, mapped
+from lumenstat.llm.shared import filled, mapped, without_gc
 
 NONE = np.int64(1) << 62
+PLACE_BITS = 40  # of a place in a word, below the rank in a tree's keys
 WIDE = 32  # longest word of the row-wise form
 CACHE = 250_000  # words remembered by a Python worker
 #: Texts with any of these are normalised and split by the library's own parts: combining and rarer letters, and control characters that str.split takes for white space.
@@ -93,7 +95,7 @@ class Tokenizer:
 
         def leaf(i: int) -> int:
             r = rank_of.get(ids[i] << 32 | ids[nxt[i]]) if nxt[i] >= 0 else None
-            return none if r is None else r << 24 | i
+            return none if r is None else r << PLACE_BITS | i
 
         def put(i: int, value: int) -> None:
             k = size + i
@@ -108,9 +110,9 @@ class Tokenizer:
         for k in range(size - 1, 0, -1):
             tree[k] = min(tree[2 * k], tree[2 * k + 1])
         while tree[1] < none:
-            i = tree[1] & 0xFFFFFF
+            i = tree[1] & ((1 << PLACE_BITS) - 1)
             j = nxt[i]
-            ids[i] = int(made[tree[1] >> 24])
+            ids[i] = int(made[tree[1] >> PLACE_BITS])
             nxt[i] = nxt[j]
             if nxt[j] >= 0:
                 prv[nxt[j]] = i
@@ -280,9 +282,9 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also the ids and the decoded text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @without_gc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        gc.disable()  # millions of strings and no cycles
         for b in batches:
             texts = b.column(1).to_pylist()
             lo = 0

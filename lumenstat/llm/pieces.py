@@ -11,7 +11,6 @@ Null and empty texts have no tokens. Words are runs outside space and bytes 9 to
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenstat.llm.shared import as_bytes, filled, mapped, pieces
+from lumenstat.llm.shared import as_bytes, filled, mapped, pieces, without_gc
 
 START = "▁"
 CACHE = 300_000
@@ -111,9 +110,9 @@ def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """A row per document: doc_id, n_words, n_tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @without_gc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, seen = automaton(path)
-        gc.disable()
         for b in batches:
             texts = as_bytes(b.column(1))
             for lo, hi in pieces([len(t) for t in texts]):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,12 +12,15 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -79,10 +84,31 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+#: Rows sent to Python at once, where the session has Spark's default: texts of usual length are then a few MB a batch, in the JVM's Arrow buffers as in the worker.
+BATCH_ROWS, _DEFAULT_ROWS, _ROWS_CONF = 1024, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_CONF) == _DEFAULT_ROWS:
+        conf.set(_ROWS_CONF, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 
+def without_gc(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that makes millions of strings and no cycles: Python's collector rests while it runs."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from fn(batches)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def pieces(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes together, one row at least."""
     lo, total = 0, 0
