@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenstat.llm import bpe, exact, jaccard, language, mixing, nearest, personal, pieces, quality, toxicity
 from lumenstat.llm.shared import Scratch, table
 
-#: Where the public tokenizers' files are.
-TOKENIZERS = "/opt/tokenizers"
+#: Where the public tokenizers' files are; any path can be given instead.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
@@ -25,7 +27,7 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     index = exact.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
-    out = scratch.finish(exact.deduplicated(table(spark, sf_dir, "documents"), index, scratch))
+    out = scratch.finish(exact.deduplicated(table(spark, sf_dir, "documents"), index, scratch, batch="documents"))
     index.drop()
     return out
 
@@ -39,7 +41,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, path: str = f"{TOKENIZERS
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.with_scores(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
 
 

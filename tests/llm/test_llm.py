@@ -265,3 +265,113 @@ def test_toxicity_has_a_link_for_each_of_many_languages():
     docs = [np.unique(np.array([10 + int(k[1:]), 1 if t else 2], np.uint64)) for k, t in zip(langs, toxic)]
     chain = toxicity.Chain().fit(docs, toxic, langs, np.arange(len(langs)) % toxicity.FOLDS)
     assert chain.names == [*[f"toxic_l{k:02d}" for k in range(12)], "toxic"]
+
+
+def test_exact_dedup_batch_can_be_run_again_and_index_compacts(spark, odd, tmp_path):
+    scratch, path = Scratch(spark), f"file://{tmp_path}/index"
+    index = exact.DigestIndex(spark, "test_digests3", path, buckets=2)
+    key = lambda df: sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect())
+    first = key(exact.deduplicated(odd, index, scratch, batch="a"))
+    # as after a driver that was lost between the append and the decisions
+    assert key(exact.deduplicated(odd, index, scratch, batch="a")) == first and sum(r[3] for r in first) > 0
+    assert exact.deduplicated(odd, index, scratch, batch="b").filter("kept").count() == 0
+    n = index.table().count()
+    for k in range(exact.COMPACT_FILES + 2):
+        exact.deduplicated(spark.createDataFrame([(100 + k, f"new {k} {j}", None, None, None) for j in range(40)], SCHEMA), index, scratch, batch=f"c{k}").count()
+    assert index.table().count() == n + 40 * (exact.COMPACT_FILES + 2) and len(index.table().inputFiles()) < 2 * exact.COMPACT_FILES
+    assert not index.folder.endswith("/v000000-2")
+    spark.sql("DROP TABLE test_digests3")  # another session attaches to the files, whatever number of buckets it would choose
+    again = exact.DigestIndex(spark, "test_digests4", path)
+    assert exact.deduplicated(odd, again, scratch, batch="d").filter("kept").count() == 0 and again.buckets == 2
+    index.drop()
+    again.drop()
+
+
+def test_personal_data_adds_spans_that_labelers_agree_on(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, planted = [], set()
+    for i in range(400):
+        kind = 4 if i % 32 in (6, 14, 22) else i % 8  # a fourth as many decoys as keys
+        body = {
+            0: f"{word()}.{word()}@{word()}.com", 1: f"+1 (212) 555-{rng.randrange(1000, 9999)}", 2: f"{word()} [at] {word()}.org", 3: f"(0{rng.randrange(20, 99)}) 555 {rng.randrange(1000, 9999)}",
+            4: "".join(rng.choice("0123456789abcdef") for _ in range(40)), 5: f"(0{rng.randrange(20, 99)}) 123 4567", 6: "".join(rng.choice("0123456789abcdef") for _ in range(40)), 7: f"{word()}@{word()}.net",
+        }[kind]
+        lead = {0: "mail", 1: "call", 2: "contact", 3: "phone", 4: 'token = "', 5: "invoice no", 6: "commit", 7: "write"}[kind]
+        text = f"{word()} {word()} {lead} {body} {word()}"
+        rows.append((i, text))
+        if kind in (2, 3, 4):
+            planted.add((i, {2: "email", 3: "phone", 4: "secret"}[kind], text.index(body), text.index(body) + len(body)))
+    got, base = set(), 0
+    for r in personal.found(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        base += r.n_email + r.n_ip + r.n_card + r.n_phone
+        got |= {(r.doc_id, k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+    added = {x for x in got if x[0] % 8 not in (0, 1, 7)}
+    assert base == 150 and len(got) - len(added) == 150 and len(planted) == 188
+    assert len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added)
+    assert personal.base_spans("0" * 5000 + ".1.1.1 " + "9" * 6000 + ".1.1.1")[0] == [("ip", 0, 5006)]
+    many, loose = personal.candidates("a.b@c.de " * 30_000 + "(030) 555 1234 " * 30_000)
+    assert len(many) == len(loose) == 30_000
+
+
+def test_nearest_answers_each_row_of_a_repeated_query_id(spark):
+    x = np.random.default_rng(3).normal(size=(200, 8))
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(50, [float(v) for v in -x[50]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.neighbours(df, df.filter("vec_id = 50"), Scratch(spark)).toPandas()
+    assert sorted(got["rank"]) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and 50 not in set(got.vec_id)
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for v in (y[50], -y[50]):
+        c = y @ v
+        c[50] = -9
+        want = np.argsort(-c)[:5].tolist()
+        assert all(w in set(got.vec_id) for w in want)
+
+
+def test_bpe_long_word_and_collector(spark):
+    import gc
+
+    own = bpe.Tokenizer(f"{queries.TOKENIZERS}/word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    t = "abcdefgh" * 30_000
+    assert own.encode(t) == Tokenizer.from_file(f"{queries.TOKENIZERS}/word_bpe_49k.json").encode(t, add_special_tokens=False).ids
+    assert gc.isenabled()
+
+
+def test_toxicity_groups_and_repeated_ids(spark):
+    docs = [np.array([1, 2], np.uint64), np.array([1, 3], np.uint64), np.array([7, 8], np.uint64), np.array([7, 9], np.uint64), np.empty(0, np.uint64)]
+    own = toxicity.grouped(docs, 3)
+    assert own[0] == own[1] != own[2] == own[3] and len(set(own.tolist())) == 3
+    rows = [(i, "bad ugly words" if i % 3 == 0 else "fine and good words") for i in range(60)] + [(3, "fine text again"), (6, None)]
+    docs, labels = spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic long")
+    a, b = toxicity.fitted(docs, labels), toxicity.fitted(docs.repartition(7), labels)
+    assert a.names[-1] == "toxic" and all(np.allclose(x, y) for x, y in zip(a.weights, b.weights))
+    got = {r.doc_id: r.toxic for r in toxicity.with_scores(docs.limit(60), a).collect()}
+    assert got == {i: i % 3 == 0 for i in range(60)}
+
+
+def test_language_model_is_that_of_the_rows_and_learns_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a = language.scored(docs, Scratch(spark)).toPandas().sort_values("doc_id")
+    b = language.scored(docs.repartition(7), Scratch(spark)).toPandas().sort_values("doc_id")
+    assert np.allclose(a.score, b.score, rtol=1e-9) and np.allclose(a.base_score, b.base_score)
+    large = language.scored(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), Scratch(spark)).filter("held_out").toPandas()
+    assert large.score.sum() > 0.96 * large.base_score.sum()  # log probabilities, below 0
+    # what a word is followed by is learned within its class too
+    rng = random.Random(2)
+    pairs = [(f"left{i:02d}", f"right{i:02d}") for i in range(60)]
+    rows = [(i, " ".join(w for _ in range(100) for w in rng.choice(pairs))) for i in range(200)]
+    got = language.scored(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).filter("held_out").toPandas()
+    assert got.score.sum() > 0.8 * got.base_score.sum()
+
+
+def test_language_model_probabilities_add_up_within_classes():
+    rng = np.random.default_rng(1)
+    counts = np.concatenate([np.sort(rng.integers(1, 500, 700))[::-1], rng.integers(0, 50, language.KINDS)])
+    m = language.Model(list(range(1, 701)), counts.astype(float))
+    assert (m.last - m.first).max() > 1 and m.n_classes <= language.CLASSES
+    text = rng.integers(0, len(counts), 3000)
+    m.train(text, np.zeros(3000, int), rng, {k: np.zeros_like(x) for k, x in m.params.items()})
+    total = sum(10 ** m.log10(np.array([5, 650, u]), np.zeros(3, int))[2] for u in range(len(counts)))
+    assert total == pytest.approx(1, abs=1e-4)
