@@ -2,16 +2,25 @@
 
 A-Z is lower-cased; tokens are runs outside space and bytes 9 to 13, then one end, counted as a token.
 Word counts come from every training document: they are summed by 64-bit word hash in a shuffle that
-grows with the corpus. The model predicts a token's unit from the units before it; a unit is one of the
-most frequent words or a class of the other words by their last two bytes. Context vectors, weighted
-for each distance, are added up to a prediction whose product with a unit's vector, plus a bias, is its score.
-Training contrasts each token with noise drawn from unit frequencies and leaves scores unnormalised; each
-task trains on all tokens of its documents from the same start, and parameters are averaged by tokens.
-Scoring normalises over all units in batched matrix products. Within a class a word has its add-one
-share of the class's counts, so that probabilities over all words, and one unknown in each class, add up to 1.
+grows with the corpus. The WORDS most frequent words (of LEAST or more) and the end have vectors of their own, as
+context and as target; a word beyond them is one of KINDS units, by its last two bytes.
+
+Words are dealt to classes of equal mass, in order of frequency. Context vectors, weighted for each distance, are
+added up to a prediction h. A token's class is scored by the product of h with the class's vector, plus a bias, and
+normalised over all classes and kinds; then the word by the product of h with its own vector, plus a bias, normalised
+over its class. A word of a kind has its add-one share of the kind's counts, so that probabilities over all words, and
+one unknown in each kind, add up to 1. Both normalisations are batched matrix products.
+
+Training contrasts each token's class, and its word within the class, with noise drawn from their frequencies and
+leaves scores unnormalised. Documents are dealt by hash to shards of about SHARD tokens, read in order of id within
+each. Each round trains on its share of the shards, every shard from the same start, and takes the mean by tokens,
+summed in order up a tree: the result is that of the rows, however they are dealt over files and partitions.
 
 Null and empty texts have the end alone. Null ids count as the empty text in the split. Repeated rows
-are scored each. Without training documents all counts are 0.
+are scored each. Words of equal count are taken by hash. Without training documents all counts are 0; an empty table
+gives an empty result. The model has at most 0.6 million numbers, a shard's tokens take 2 bytes each, and the driver
+holds the model and the counts of KNOWN words, at any size of the corpus. A text is tokenised in one task's memory,
+at some 60 bytes a byte of it.
 """
 
 from __future__ import annotations
@@ -26,10 +35,13 @@ from pyspark.sql import functions as F
 from lumenstat.llm.shared import Scratch, as_bytes, filled, mapped, pieces
 from lumenstat.llm.words import Batch, mix
 
-WORDS, CLASSES = 128, 128  # units
+WORDS, LEAST = 16_384, 8  # words of their own at most, and the count from which on
+CLASSES, KINDS = 96, 64  # of those words, and of the others
 CONTEXT, DIM = 4, 16
-BATCH, NOISE = 4096, 48
+BATCH, NOISE, INNER = 4096, 32, 4  # tokens of a step; noise classes of a step, and noise words of each class
 RATE = 0.08
+ROUNDS, SHARD = 2, 1 << 22
+FAN, BLOCK = 64, 1 << 13  # shards added up together; numbers of the model in a row
 KNOWN = 1 << 17  # most frequent words, scored where the text is; the rest by a join
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
@@ -39,12 +51,12 @@ def held_out(id_col: Column) -> Column:
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, class and text of every token, ends included."""
+    """Hash, kind and text of every token, ends included."""
     b = Batch(texts)
     one = b.buf[b.end - 1].astype(np.int64)
     two = np.where(b.end - b.start > 1, b.buf[np.maximum(b.end - 2, 0)], 0).astype(np.int64)
     at = b.bounds()[1:]  # an end after the last word of each text
-    kind = (mix((one << 8 | two).astype(np.uint64)) % np.uint64(CLASSES)).astype(np.int64)
+    kind = (mix((one << 8 | two).astype(np.uint64)) % np.uint64(KINDS)).astype(np.int64)
     return np.insert(b.hashes(), at, END), np.insert(kind, at, 0), np.insert(b.doc, at, np.arange(b.n_docs))
 
 
@@ -76,26 +88,47 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("text"), run, "h bigint, kind int, c bigint").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
 
 
+def summed(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places of ``at``, and the sum of the rows of ``grad`` at each."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[first], np.add.reduceat(grad[order], first, axis=0) if len(first) else grad[:0]
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Model:
-    """Parameters, and what is known of the training counts."""
+    """Parameters, and what is known of the training counts: of the words ``top`` (hashes), then of the kinds."""
 
     def __init__(self, top: list[int], unit_counts: np.ndarray) -> None:
         order = np.argsort(np.array(top, np.int64).view(np.uint64), kind="stable")
         self.top, self.top_unit = np.array(top, np.int64).view(np.uint64)[order], order
-        p = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * len(unit_counts))
-        self.log_noise, self.noise = np.log(p).astype(np.float32), p
+        self.words, n = len(top), len(unit_counts)
+        mass = np.asarray(unit_counts, float) + 0.5
+        words, kinds = mass[: self.words], mass[self.words :]
+        before = np.cumsum(words) - words  # a class takes the words that begin in its share of the mass
+        cls = np.minimum((before * CLASSES / max(words.sum(), 1e-9)).astype(np.int64), CLASSES - 1)
+        _, self.first, cls = np.unique(cls, return_index=True, return_inverse=True)
+        self.n_classes = len(self.first)
+        self.last = np.append(self.first[1:], self.words).astype(np.int64)
+        own = np.array([words[a:b].sum() for a, b in zip(self.first, self.last, strict=True)])
+        self.of = np.concatenate([cls, self.n_classes + np.arange(n - self.words)]).astype(np.int64)  # class, or kind after all classes, of each unit
+        p = np.concatenate([own, kinds]) / mass.sum()
+        self.log_class, self.class_edges = np.log(p).astype(np.float32), np.cumsum(p)
+        self.log_word = np.log(words / own[cls]).astype(np.float32) if self.words else np.zeros(0, np.float32)
+        self.word_edges = np.cumsum(words)
         rng = np.random.default_rng(11)
-        n = len(p)
-        self.params = {
-            "r": (0.1 * rng.standard_normal((n, DIM))).astype(np.float32), "q": (0.1 * rng.standard_normal((n, DIM))).astype(np.float32),
-            "c": np.full((CONTEXT, DIM), 0.5, np.float32), "b": self.log_noise.copy(),
-        }
+        draw = lambda rows: (0.1 * rng.standard_normal((rows, DIM))).astype(np.float32)
+        self.params = {"r": draw(n), "q": draw(len(p)), "w": draw(self.words), "c": np.full((CONTEXT, DIM), 0.5, np.float32), "b": self.log_class.copy(), "v": self.log_word.copy()}
 
     def units(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
         if not len(self.top):
-            return WORDS + kind
+            return self.words + kind
         at = np.minimum(np.searchsorted(self.top, h), len(self.top) - 1)
-        return np.where(self.top[at] == h, self.top_unit[at], WORDS + kind)
+        return np.where(self.top[at] == h, self.top_unit[at], self.words + kind)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.params[k].ravel() for k in sorted(self.params)])
@@ -107,153 +140,202 @@ class Model:
             self.params[k] = flat[at : at + n].reshape(self.params[k].shape).astype(np.float32)
             at += n
 
-    def context(self, units: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-        """For each distance, the unit so far before each token, or the number of units (a zero vector) before the text's start."""
-        none = len(self.noise)
-        out = []
+    def context(self, units: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """(tokens, distances): the unit so far before each token, or the number of units (a zero vector) before the text's start."""
+        out = np.full((len(units), CONTEXT), len(self.of))
         for d in range(1, CONTEXT + 1):
-            before = np.full(len(units), none)
             same = doc[d:] == doc[:-d]
-            before[d:][same] = units[:-d][same]
-            out.append(before)
+            out[d:, d - 1][same] = units[:-d][same]
         return out
 
-    def predict(self, before: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
-        r = np.vstack([self.params["r"], np.zeros((1, DIM), np.float32)])
-        return sum(self.params["c"][d] * r[before[d][lo:hi]] for d in range(CONTEXT))
-
     def train(self, units: np.ndarray, doc: np.ndarray, rng: np.random.Generator, past: dict[str, np.ndarray]) -> None:
         """One pass of noise-contrastive steps with adaptive rates; ``past`` holds squared gradients."""
-        before, p = self.context(units, doc), self.params
-        shift = np.log(NOISE) + self.log_noise
-        edges = np.cumsum(self.noise)
-        n = len(self.noise)
-
-        def summed(at: np.ndarray, grad: np.ndarray) -> np.ndarray:
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            out = np.zeros((n + 1, grad.shape[1]), np.float32)
-            out[at[order][first]] = np.add.reduceat(grad[order], first, axis=0)
-            return out[:n]
+        before, p, sizes = self.context(units, doc), self.params, self.last - self.first
+        shift = np.log(NOISE) + self.log_class
+        inner_shift = np.log(INNER) + self.log_word
+        low = np.append(0.0, self.word_edges)[self.first] if self.n_classes else np.zeros(0)
+        room = self.word_edges[self.last - 1] - low if self.n_classes else np.zeros(0)
+        r = np.vstack([p["r"], np.zeros((1, DIM), np.float32)])
+        past_r = np.vstack([past["r"], np.zeros((1, DIM), np.float32)])
+
+        def step(x: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
+            squares[rows] += g * g
+            x[rows] -= RATE * g / np.sqrt(squares[rows] + 1.0)
 
         for lo in range(0, len(units), BATCH):
-            hi = min(lo + BATCH, len(units))
-            y, k = units[lo:hi], np.minimum(np.searchsorted(edges, rng.random(NOISE)), n - 1)
-            r = np.vstack([p["r"], np.zeros((1, DIM), np.float32)])
-            seen = [r[before[d][lo:hi]] for d in range(CONTEXT)]
-            h = sum(p["c"][d] * seen[d] for d in range(CONTEXT))
-            true = np.einsum("bd,bd->b", h, p["q"][y]) + p["b"][y] - shift[y]
-            false = h @ p["q"][k].T + (p["b"][k] - shift[k])
-            g_true = -1 / (1 + np.exp(np.clip(true, -30, 30)))  # d loss / d score of the token
-            g_false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))  # and of each noise unit
+            u, near = units[lo : lo + BATCH], before[lo : lo + BATCH]
+            y = self.of[u]
+            seen = r[near]
+            h = np.einsum("bcd,cd->bd", seen, p["c"])
+            # the class among noise classes
+            k = np.minimum(np.searchsorted(self.class_edges, rng.random(NOISE)), len(shift) - 1)
+            g_true = _logistic(np.einsum("bd,bd->b", h, p["q"][y]) + p["b"][y] - shift[y]) - 1  # d loss / d score of the class
+            g_false = _logistic(h @ p["q"][k].T + (p["b"][k] - shift[k]))  # and of each noise class
             g_h = g_true[:, None] * p["q"][y] + g_false @ p["q"][k]
-            g_q = summed(y, np.hstack([g_true[:, None] * h, g_true[:, None]]))
-            np.add.at(g_q, k, np.hstack([g_false.T @ h, g_false.sum(0)[:, None]]))
-            g_r = sum(summed(before[d][lo:hi], p["c"][d] * g_h) for d in range(CONTEXT))
-            g_c = np.stack([(seen[d] * g_h).sum(0) for d in range(CONTEXT)])
-            for name, g in (("q", g_q[:, :-1]), ("b", g_q[:, -1]), ("r", g_r), ("c", g_c)):
-                past[name] += g * g
-                p[name] -= RATE * g / np.sqrt(past[name] + 1.0)
+            at, g = summed(np.concatenate([y, k]), np.vstack([np.hstack([g_true[:, None] * h, g_true[:, None]]), np.hstack([g_false.T @ h, g_false.sum(0)[:, None]])]).astype(np.float32))
+            step(p["q"], past["q"], at, g[:, :-1])
+            step(p["b"], past["b"], at, g[:, -1])
+            # the word among noise words of its class
+            own = np.flatnonzero(u < self.words)
+            own = own[sizes[y[own]] > 1]
+            if len(own):
+                own = own[np.argsort(y[own], kind="stable")]
+                w, c, hw = u[own], y[own], h[own]
+                some = np.flatnonzero(np.diff(c, prepend=-1))  # where the classes of this step begin
+                kinds = c[some]
+                z = np.searchsorted(self.word_edges, low[kinds, None] + room[kinds, None] * rng.random((len(kinds), INNER)), "right")
+                z = np.minimum(z, self.last[kinds, None] - 1)
+                which = np.repeat(np.arange(len(kinds)), np.diff(np.append(some, len(c))))
+                qz = p["w"][z]
+                g_true = _logistic(np.einsum("bd,bd->b", hw, p["w"][w]) + p["v"][w] - inner_shift[w]) - 1
+                g_false = _logistic(np.einsum("bd,bkd->bk", hw, qz[which]) + (p["v"][z] - inner_shift[z])[which])
+                g_h[own] += g_true[:, None] * p["w"][w] + np.einsum("bk,bkd->bd", g_false, qz[which])
+                ones = np.hstack([hw, np.ones((len(hw), 1), np.float32)])
+                far = np.add.reduceat(g_false[:, :, None] * ones[:, None, :], some, axis=0)
+                at, g = summed(np.concatenate([w, z.ravel()]), np.vstack([g_true[:, None] * ones, far.reshape(-1, DIM + 1)]).astype(np.float32))
+                step(p["w"], past["w"], at, g[:, :-1])
+                step(p["v"], past["v"], at, g[:, -1])
+            at, g = summed(near.ravel(), (p["c"][None] * g_h[:, None, :]).reshape(-1, DIM).astype(np.float32))
+            step(p["c"], past["c"], slice(None), np.einsum("bcd,bd->cd", seen, g_h).astype(np.float32))
+            keep = at < len(self.of)
+            step(r, past_r, at[keep], g[keep])
+        p["r"], past["r"] = r[:-1], past_r[:-1]
 
     def log10(self, units: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each token's unit."""
-        before, out = self.context(units, doc), np.empty(len(units))
-        qt, b = np.ascontiguousarray(self.params["q"].T), self.params["b"]
-        for lo in range(0, len(units), BATCH):
-            hi = min(lo + BATCH, len(units))
-            s = self.predict(before, lo, hi) @ qt
-            s += b
-            top = s.max(1)
-            own = s[np.arange(hi - lo), units[lo:hi]] - top
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[lo:hi] = own - np.log(s.sum(1))
+        before, out, p = self.context(units, doc), np.empty(len(units)), self.params
+        r = np.vstack([p["r"], np.zeros((1, DIM), np.float32)])
+        qt = np.ascontiguousarray(p["q"].T)
+        for lo in range(0, len(units), 4 * BATCH):
+            u = units[lo : lo + 4 * BATCH]
+            near, y = before[lo : lo + 4 * BATCH], self.of[u]
+            h = sum(p["c"][d] * r[near[:, d]] for d in range(CONTEXT))
+            mine = np.empty(len(u))
+            for a in range(0, len(u), BATCH):
+                mine[a : a + BATCH] = _log_share(h[a : a + BATCH] @ qt + p["b"], y[a : a + BATCH])
+            order = np.argsort(y, kind="stable")
+            cut = np.searchsorted(y[order], np.arange(self.n_classes + 1))
+            for k in np.flatnonzero((np.diff(cut) > 0) & (self.last - self.first > 1)):
+                a, b, rows = self.first[k], self.last[k], order[cut[k] : cut[k + 1]]
+                mine[rows] += _log_share(h[rows] @ p["w"][a:b].T + p["v"][a:b], u[rows] - a)
+            out[lo : lo + 4 * BATCH] = mine
         return out / np.log(10)
 
 
-def trained(docs: DataFrame, model: Model) -> Model:
-    """Train on every token of ``docs`` (column text): one pass in each task, then the average by tokens."""
-    start = docs.sparkSession.sparkContext.broadcast(model)
+def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of the normalised share of column ``own`` in each row of scores."""
+    s -= s.max(1, keepdims=True)
+    mine = s[np.arange(len(s)), own].astype(float)
+    np.exp(s, out=s)
+    return mine - np.log(s.sum(1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def trained(units: DataFrame, model: Model, scratch: Scratch, shards: int) -> Model:
+    """Train on every row of ``units`` (shard, key, own, units): in each round every one of its shards from the same start, then their mean by tokens."""
+
+    def train(t: pa.Table) -> pa.Table:
         m: Model = start.value
         first = m.flat()
-        rng, n = np.random.default_rng(5), 0
-        past = {k: np.zeros_like(x) for k, x in m.params.items()}
-        for b in batches:
-            texts = as_bytes(b.column(0))
-            for lo, hi in pieces([len(t) for t in texts]):
-                h, kind, doc = tokens(texts[lo:hi])
-                m.train(m.units(h, kind), doc, rng, past)
-                n += len(h)
-        if n:
-            flat = m.flat().astype(float) * n
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), n, np.int64))], ["k", "x", "n"])
+        t = t.sort_by([("key", "ascending"), ("own", "ascending")])
+        lists = t["units"].combine_chunks()
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        part = t["shard"][0].as_py()
+        m.train(flat, doc, np.random.default_rng([5, part]), {k: np.zeros_like(x) for k, x in m.params.items()})
+        x = m.flat()
         m.load(first)  # the broadcast object is reused by this worker
-
-    parts = mapped(docs.select("text"), run, "k int, x double, n bigint").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    if parts:
-        flat = np.zeros(len(parts))
-        for row in parts:
-            flat[row["k"]] = row["x"]
-        model.load(flat)
+        cut = range(0, len(x), BLOCK)
+        return pa.table({"block": pa.array(range(len(cut)), pa.int32()), "part": pa.array([part // ROUNDS] * len(cut), pa.int64()), "x": pa.array([(x[lo : lo + BLOCK] * np.float64(len(flat))).tobytes() for lo in cut], pa.binary()), "n": pa.array([len(flat)] * len(cut), pa.int64())})
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")
+        x = np.zeros(len(t["x"][0].as_py()) // 8)
+        for one in t["x"]:
+            x += np.frombuffer(one.as_py(), float)
+        return pa.table({"block": t["block"].slice(0, 1), "part": pa.array([t["part"][0].as_py() // FAN], pa.int64()), "x": pa.array([x.tobytes()], pa.binary()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64())})
+
+    schema = "block int, part long, x binary, n long"
+    for k in range(ROUNDS):
+        start = units.sparkSession.sparkContext.broadcast(model)
+        rows = units.filter(F.col("shard") % ROUNDS == k).select("shard", "key", "own", "units")
+        sums, left = scratch.write(rows.groupBy("shard").applyInArrow(train, schema), "parts"), -(-shards // ROUNDS)
+        while True:
+            sums, left = sums.groupBy("block", F.floor(F.col("part") / FAN).alias("up")).applyInArrow(lambda key, t: add(t), schema), -(-left // FAN)
+            if left <= 1:
+                break
+            sums = scratch.write(sums, "parts")
+        found = sorted(sums.collect(), key=lambda row: row["block"])
+        start.destroy()
+        if found:
+            model.load(np.concatenate([np.frombuffer(row["x"], float) / row["n"] for row in found]))
     return model
 
 
 def scored(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    sc = scratch.spark.sparkContext
-    docs = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), filled(F.col(text_col)).alias("text"))
-    training = docs.filter(~F.col("held_out"))
-    words = scratch.write(vocabulary(training), "words")
+    sc, end = scratch.spark.sparkContext, int(END.view(np.int64))
+    text = filled(F.col(text_col))
+    docs = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"), F.xxhash64(id_col).alias("key"), F.xxhash64(text).alias("own"))
+    words = scratch.write(vocabulary(docs.filter(~F.col("held_out"))), "words")
     n_all, v_all = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = words.orderBy(F.desc("c"), "h").limit(KNOWN).toPandas()
-    top = known["h"].tolist()[: WORDS - 1]
-    end = int(END.view(np.int64))
-    top = top if end in top else [*top[: WORDS - 2], end]
-    rest = words.filter(~F.col("h").isin(top)).groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    class_c, class_v, counts = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(WORDS + CLASSES)
-    for row in rest:
-        class_c[row["kind"]], class_v[row["kind"]] = row["c"], row["v"]
-    count_of = dict(zip(known["h"].tolist(), known["c"].tolist(), strict=True))
-    for u, h in enumerate(top):
-        counts[u] = count_of.get(h, 0)
-    counts[WORDS:] = class_c
-    model = trained(training, Model(top, counts))
-    order = np.argsort(known["h"].to_numpy(np.int64).view(np.uint64))
-    sent = sc.broadcast((model, known["h"].to_numpy(np.int64).view(np.uint64)[order], np.log10(known["c"].to_numpy(float)[order] + 1), np.log10(class_c + class_v + 1)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes, logs, room = sent.value
+    known = words.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c").toArrow()
+    hashes, counts = known["h"].to_numpy(), known["c"].to_numpy()
+    top = [h for h in hashes[: WORDS - 1][counts[: WORDS - 1] >= LEAST].tolist() if h != end] + [end]
+    of = dict(zip(hashes.tolist(), counts.tolist(), strict=True))
+    kinds = words.join(F.broadcast(scratch.spark.createDataFrame([(h,) for h in top], "h long")), "h", "left_anti").groupBy("kind").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most WORDS rows
+    kind_c, kind_v = np.zeros(KINDS), np.zeros(KINDS)
+    for row in kinds:
+        kind_c[row["kind"]], kind_v[row["kind"]] = row["c"], row["v"]
+    model = Model(top, np.concatenate([[of.get(h, 0) for h in top], kind_c]))
+    shards = ROUNDS * max(1, -(-int(n_all) // (SHARD * ROUNDS)))
+    order = np.argsort(hashes.view(np.uint64))
+    sent = sc.broadcast((model, hashes.view(np.uint64)[order], np.log10(counts[order] + 1.0), np.log10(kind_c + kind_v + 1)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known_h, logs, room = sent.value
         for b in batches:
             texts = as_bytes(b.column(2))
             for lo, hi in pieces([len(t) for t in texts]):
                 h, kind, doc = tokens(texts[lo:hi])
                 u, n = m.units(h, kind), hi - lo
-                lm = m.log10(u, doc)
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    found = hashes[at] == h
+                if len(known_h):
+                    at = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
+                    found = known_h[at] == h
                     log_c = np.where(found, logs[at], 0.0)
                 else:
                     found, log_c = np.zeros(len(h), bool), np.zeros(len(h))
-                classed = u >= WORDS
-                score = lm + np.where(classed, log_c - room[np.maximum(u - WORDS, 0)], 0.0)
+                rare = u >= m.words
+                inside = np.where(rare, log_c - room[np.maximum(u - m.words, 0)], 0.0)
                 late, late_doc = h[~found].view(np.int64), doc[~found]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(late_doc, minlength=n))])
-                sums = [np.bincount(doc, w, minlength=n) for w in (np.ones(len(doc)), found, log_c, score)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(late, pa.int64()))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "late"],
-                )
+                sums = [np.bincount(doc, w, minlength=n) for w in (np.ones(len(doc)), found, log_c, inside)]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, kind)) for at, x, kind in ((ends, u.astype(np.int16), pa.int16()), (offsets, late, pa.int64()))]
+                cols = [b.column(k).slice(lo, n) for k in (0, 1, 3, 4)]
+                cols += [pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), *lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "key", "own", "n_tokens", "n_known", "logs", "inside", "units", "late"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = mapped(docs, run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, late array<bigint>")
-    rows = scratch.write(rows.withColumn("uid", F.monotonically_increasing_id()), "scored")
+    rows = mapped(docs, read, f"doc_id {kind}, held_out boolean, key bigint, own bigint, n_tokens bigint, n_known bigint, logs double, inside double, units array<smallint>, late array<bigint>")
+    rows = rows.withColumns({"uid": F.monotonically_increasing_id(), "shard": F.pmod(F.xxhash64("key", "own"), F.lit(shards)).cast("int")})
+    rows = scratch.write(rows, "units")
+    final = sc.broadcast(trained(rows.filter(~F.col("held_out")), model, scratch, shards))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, lists, out = b.column(3).to_numpy(), b.column(7), []
+            for lo, hi in pieces(sizes.tolist(), 1 << 16):
+                flat = lists.slice(lo, hi - lo).flatten().to_numpy().astype(np.int64)
+                doc = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+                out.append(np.bincount(doc, final.value.log10(flat, doc), minlength=hi - lo))
+            if out:
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(6)], pa.array(np.concatenate(out) + b.column(6).to_numpy())], ["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
     late = rows.select("uid", F.explode("late").alias("h")).groupBy("uid", "h").count()
     late = late.join(words.select("h", "c"), "h").groupBy("uid").agg(F.sum("count").alias("more"), F.sum(F.col("count") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    done = mapped(rows.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "inside", "units"), score, f"uid bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.drop("late").join(late, "uid", "left").select(
+    return done.join(late, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).cast("long").alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("logs") + zero("more_logs") - F.col("n_tokens") * F.lit(float(np.log10(n_all + v_all + 1)))).alias("base_score"),
         (F.col("score") + zero("more_logs")).alias("score"),
