@@ -9,8 +9,8 @@ miss its target by less than one document.
 
 Null texts and texts without words have size 0 and are taken 0 words. Null is a source of its own,
 last in order. Rows that repeat are documents of their own. An empty table gives an empty result.
-The random numbers are seeded by source, level and group, and groups are formed by hash of id and size:
-reruns agree however the rows are dealt. One row per source meets on the driver, as a catalogue.
+The random numbers are seeded by source, level and group, and groups are formed by hash of id and text:
+reruns agree however the rows are dealt. Rows without an id are told apart by their texts. One row per source meets on the driver, as a catalogue.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def pivotal(sizes: list[int], parts: list[float], rng: random.Random) -> tuple[l
 
 def _settle(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "size", "grp0"], kind="stable")
+        pdf = pdf.sort_values(["key", "size", "grp0", "own"], kind="stable")
         seed = f"{pdf['src'].iloc[0]!r}|{level}|{pdf['grp'].iloc[0]}"
         rng = random.Random(hashlib.blake2b(seed.encode(), digest_size=8).digest())
         part, held = pivotal(pdf["size"].tolist(), pdf["part"].tolist(), rng)
@@ -84,7 +84,7 @@ def mixed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     text = filled(F.col(text_col))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("src"),
-        F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("size"), *[F.expr(sql).alias(name) for sql, name in carry],
+        F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("size"), F.xxhash64(text).alias("own"), *[F.expr(sql).alias(name) for sql, name in carry],
     )
     rows = scratch.write(rows, "sizes")
     stats = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
@@ -96,10 +96,10 @@ def mixed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
     extra = [name for _, name in carry]
     joined = joined.withColumns({
         "whole": whole.cast("long"), "part": F.greatest(F.col("rate") - whole, F.lit(0.0)), "key": F.coalesce(F.col("doc_id"), F.lit(-1)),
-        "grp0": F.pmod(F.xxhash64("doc_id", "size"), F.col("groups")), "open": F.lit(False),
+        "grp0": F.pmod(F.xxhash64("doc_id", "own"), F.col("groups")), "open": F.lit(False),
     }).withColumn("grp", F.col("grp0"))
     out = scratch.write(joined.groupBy("src", "grp").applyInPandas(_settle(0), joined.schema), "level0")
-    waiting = out.filter("open").select("src", "size", "key", "grp0", "grp", "part", "open")
+    waiting = out.filter("open").select("src", "size", "own", "key", "grp0", "grp", "part", "open")
     level, most = 0, max([1, *(r.groups for r in table.select("groups").collect())])
     while most > 1:
         level, most = level + 1, math.ceil(most / FAN)
@@ -107,7 +107,7 @@ def mixed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         done = scratch.write(waiting.groupBy("src", "grp").applyInPandas(_settle(level), waiting.schema), f"level{level}")
         late = done.filter("NOT open") if level == 1 else late.unionByName(done.filter("NOT open"))
         waiting = done.filter("open")
-    chance = F.pmod(F.xxhash64("src", "key", "size"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("src", "key", "own"), F.lit(1 << 30)) / float(1 << 30)
     waiting = waiting.withColumn("part", F.when(chance < F.col("part"), 1.0).otherwise(0.0))
     settled = waiting if level == 0 else late.unionByName(waiting)
     settled = settled.select(F.col("src").alias("s"), F.col("grp0").alias("g"), F.col("part").alias("late"))
