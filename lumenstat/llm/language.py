@@ -90,7 +90,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 def summed(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different places of ``at``, and the sum of the rows of ``grad`` at each."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort; there are fewer units than 65,536
     own = at[order]
     first = np.flatnonzero(np.diff(own, prepend=-1))
     return own[first], np.add.reduceat(grad[order], first, axis=0) if len(first) else grad[:0]
@@ -122,7 +122,8 @@ class Model:
         self.word_edges = np.cumsum(words)
         rng = np.random.default_rng(11)
         draw = lambda rows: (0.1 * rng.standard_normal((rows, DIM))).astype(np.float32)
-        self.params = {"r": draw(n), "q": draw(len(p)), "w": draw(self.words), "c": np.full((CONTEXT, DIM), 0.5, np.float32), "b": self.log_class.copy(), "v": self.log_word.copy()}
+        # context vectors, weights of distances, and vectors of classes and words with their bias
+        self.params = {"r": draw(n), "c": np.full((CONTEXT, DIM), 0.5, np.float32), "q": np.hstack([draw(len(p)), self.log_class[:, None]]), "w": np.hstack([draw(self.words), self.log_word[:, None]])}
 
     def units(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
         if not len(self.top):
@@ -157,46 +158,51 @@ class Model:
         room = self.word_edges[self.last - 1] - low if self.n_classes else np.zeros(0)
         r = np.vstack([p["r"], np.zeros((1, DIM), np.float32)])
         past_r = np.vstack([past["r"], np.zeros((1, DIM), np.float32)])
+        q, w, dist = p["q"], p["w"], p["c"]
 
         def step(x: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
-            squares[rows] += g * g
-            x[rows] -= RATE * g / np.sqrt(squares[rows] + 1.0)
+            total = squares[rows] + g * g
+            squares[rows] = total
+            x[rows] -= RATE * g / np.sqrt(total + 1.0)
 
         for lo in range(0, len(units), BATCH):
             u, near = units[lo : lo + BATCH], before[lo : lo + BATCH]
             y = self.of[u]
             seen = r[near]
-            h = np.einsum("bcd,cd->bd", seen, p["c"])
+            h = np.ones((len(u), DIM + 1), np.float32)
+            np.einsum("bcd,cd->bd", seen, dist, out=h[:, :DIM])
             # the class among noise classes
             k = np.minimum(np.searchsorted(self.class_edges, rng.random(NOISE)), len(shift) - 1)
-            g_true = _logistic(np.einsum("bd,bd->b", h, p["q"][y]) + p["b"][y] - shift[y]) - 1  # d loss / d score of the class
-            g_false = _logistic(h @ p["q"][k].T + (p["b"][k] - shift[k]))  # and of each noise class
-            g_h = g_true[:, None] * p["q"][y] + g_false @ p["q"][k]
-            at, g = summed(np.concatenate([y, k]), np.vstack([np.hstack([g_true[:, None] * h, g_true[:, None]]), np.hstack([g_false.T @ h, g_false.sum(0)[:, None]])]).astype(np.float32))
-            step(p["q"], past["q"], at, g[:, :-1])
-            step(p["b"], past["b"], at, g[:, -1])
+            qy, qk = q[y], q[k]
+            g_true = _logistic(np.einsum("bd,bd->b", h, qy) - shift[y]) - 1  # d loss / d score of the class
+            g_false = _logistic(h @ qk.T - shift[k])  # and of each noise class
+            qy *= g_true[:, None]
+            g_h = qy + g_false @ qk
+            at, g = summed(np.concatenate([y, k]), np.concatenate([g_true[:, None] * h, g_false.T @ h]))
+            step(q, past["q"], at, g)
             # the word among noise words of its class
             own = np.flatnonzero(u < self.words)
             own = own[sizes[y[own]] > 1]
             if len(own):
-                own = own[np.argsort(y[own], kind="stable")]
-                w, c, hw = u[own], y[own], h[own]
+                own = own[np.argsort(y[own].astype(np.uint16), kind="stable")]
+                word, c, hw = u[own], y[own], h[own]
                 some = np.flatnonzero(np.diff(c, prepend=-1))  # where the classes of this step begin
                 kinds = c[some]
                 z = np.searchsorted(self.word_edges, low[kinds, None] + room[kinds, None] * rng.random((len(kinds), INNER)), "right")
                 z = np.minimum(z, self.last[kinds, None] - 1)
                 which = np.repeat(np.arange(len(kinds)), np.diff(np.append(some, len(c))))
-                qz = p["w"][z]
-                g_true = _logistic(np.einsum("bd,bd->b", hw, p["w"][w]) + p["v"][w] - inner_shift[w]) - 1
-                g_false = _logistic(np.einsum("bd,bkd->bk", hw, qz[which]) + (p["v"][z] - inner_shift[z])[which])
-                g_h[own] += g_true[:, None] * p["w"][w] + np.einsum("bk,bkd->bd", g_false, qz[which])
-                ones = np.hstack([hw, np.ones((len(hw), 1), np.float32)])
-                far = np.add.reduceat(g_false[:, :, None] * ones[:, None, :], some, axis=0)
-                at, g = summed(np.concatenate([w, z.ravel()]), np.vstack([g_true[:, None] * ones, far.reshape(-1, DIM + 1)]).astype(np.float32))
-                step(p["w"], past["w"], at, g[:, :-1])
-                step(p["v"], past["v"], at, g[:, -1])
-            at, g = summed(near.ravel(), (p["c"][None] * g_h[:, None, :]).reshape(-1, DIM).astype(np.float32))
-            step(p["c"], past["c"], slice(None), np.einsum("bcd,bd->cd", seen, g_h).astype(np.float32))
+                wy, wz = w[word], w[z][which]
+                g_true = _logistic(np.einsum("bd,bd->b", hw, wy) - inner_shift[word]) - 1
+                g_false = _logistic(np.einsum("bd,bkd->bk", hw, wz) - inner_shift[z][which])
+                wy *= g_true[:, None]
+                wy += np.einsum("bk,bkd->bd", g_false, wz)
+                g_h[own] += wy
+                far = np.add.reduceat(g_false[:, :, None] * hw[:, None, :], some, axis=0)
+                at, g = summed(np.concatenate([word, z.ravel()]), np.concatenate([g_true[:, None] * hw, far.reshape(-1, DIM + 1)]))
+                step(w, past["w"], at, g)
+            g_h = g_h[:, :DIM]
+            at, g = summed(near.ravel(), (dist[None] * g_h[:, None, :]).reshape(-1, DIM))
+            step(dist, past["c"], slice(None), np.einsum("bcd,bd->cd", seen, g_h))
             keep = at < len(self.of)
             step(r, past_r, at[keep], g[keep])
         p["r"], past["r"] = r[:-1], past_r[:-1]
@@ -205,29 +211,37 @@ class Model:
         """Normalised log10 probability of each token's unit."""
         before, out, p = self.context(units, doc), np.empty(len(units)), self.params
         r = np.vstack([p["r"], np.zeros((1, DIM), np.float32)])
+        r = [r * p["c"][d] for d in range(CONTEXT)]
         qt = np.ascontiguousarray(p["q"].T)
-        for lo in range(0, len(units), 4 * BATCH):
-            u = units[lo : lo + 4 * BATCH]
-            near, y = before[lo : lo + 4 * BATCH], self.of[u]
-            h = sum(p["c"][d] * r[near[:, d]] for d in range(CONTEXT))
+        for lo in range(0, len(units), 8 * BATCH):
+            u = units[lo : lo + 8 * BATCH]
+            near, y = before[lo : lo + 8 * BATCH], self.of[u]
+            h = np.ones((len(u), DIM + 1), np.float32)
+            h[:, :DIM] = r[0][near[:, 0]]
+            for d in range(1, CONTEXT):
+                h[:, :DIM] += r[d][near[:, d]]
             mine = np.empty(len(u))
-            for a in range(0, len(u), BATCH):
-                mine[a : a + BATCH] = _log_share(h[a : a + BATCH] @ qt + p["b"], y[a : a + BATCH])
-            order = np.argsort(y, kind="stable")
+            for a in range(0, len(u), BATCH // 2):
+                mine[a : a + BATCH // 2] = _log_share(h[a : a + BATCH // 2] @ qt, y[a : a + BATCH // 2])
+            order = np.argsort(y.astype(np.uint16), kind="stable")
             cut = np.searchsorted(y[order], np.arange(self.n_classes + 1))
             for k in np.flatnonzero((np.diff(cut) > 0) & (self.last - self.first > 1)):
                 a, b, rows = self.first[k], self.last[k], order[cut[k] : cut[k + 1]]
-                mine[rows] += _log_share(h[rows] @ p["w"][a:b].T + p["v"][a:b], u[rows] - a)
-            out[lo : lo + 4 * BATCH] = mine
+                mine[rows] += _log_share(h[rows] @ p["w"][a:b].T, u[rows] - a)
+            out[lo : lo + 8 * BATCH] = mine
         return out / np.log(10)
 
 
 def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Logarithm of the normalised share of column ``own`` in each row of scores."""
-    s -= s.max(1, keepdims=True)
     mine = s[np.arange(len(s)), own].astype(float)
-    np.exp(s, out=s)
-    return mine - np.log(s.sum(1))
+    total = np.exp(s) @ np.ones(s.shape[1], np.float32)
+    far = np.flatnonzero(~((total > 1e-25) & (total < 1e25)))  # too small or large for this precision
+    if len(far):
+        top = s[far].max(1)
+        total = total.astype(float)
+        total[far] = np.exp(top.astype(float)) * np.exp(s[far] - top[:, None]).sum(1)
+    return mine - np.log(total)
 
 
 def trained(units: DataFrame, model: Model, scratch: Scratch, shards: int) -> Model:
@@ -289,23 +303,26 @@ def scored(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     model = Model(top, np.concatenate([[of.get(h, 0) for h in top], kind_c]))
     shards = ROUNDS * max(1, -(-int(n_all) // (SHARD * ROUNDS)))
     order = np.argsort(hashes.view(np.uint64))
-    sent = sc.broadcast((model, hashes.view(np.uint64)[order], np.log10(counts[order] + 1.0), np.log10(kind_c + kind_v + 1)))
+    unit_of = np.full(len(hashes), -1)
+    unit_of[np.isin(hashes, np.array(top, np.int64))] = 0
+    unit_of = np.where(unit_of == 0, model.units(hashes.view(np.uint64), np.zeros(len(hashes), np.int64)), -1)[order]
+    sent = sc.broadcast((model.words, hashes.view(np.uint64)[order], unit_of, np.log10(counts[order] + 1.0), np.log10(kind_c + kind_v + 1)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known_h, logs, room = sent.value
+        n_words, known_h, known_u, logs, room = sent.value
         for b in batches:
             texts = as_bytes(b.column(2))
             for lo, hi in pieces([len(t) for t in texts]):
                 h, kind, doc = tokens(texts[lo:hi])
-                u, n = m.units(h, kind), hi - lo
+                u, n = n_words + kind, hi - lo
                 if len(known_h):
                     at = np.minimum(np.searchsorted(known_h, h), len(known_h) - 1)
                     found = known_h[at] == h
                     log_c = np.where(found, logs[at], 0.0)
-                else:
-                    found, log_c = np.zeros(len(h), bool), np.zeros(len(h))
-                rare = u >= m.words
-                inside = np.where(rare, log_c - room[np.maximum(u - m.words, 0)], 0.0)
+                    u = np.where(found & (known_u[at] >= 0), known_u[at], u)
+                else:  # no training text: the end is the only word
+                    found, log_c, u = np.zeros(len(h), bool), np.zeros(len(h)), np.where(h == END, 0, u)
+                inside = np.where(u >= n_words, log_c - room[kind], 0.0)
                 late, late_doc = h[~found].view(np.int64), doc[~found]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(late_doc, minlength=n))])
                 sums = [np.bincount(doc, w, minlength=n) for w in (np.ones(len(doc)), found, log_c, inside)]
