@@ -75,3 +75,59 @@ def without_redundant(table: DataFrame, tol: float = 1e-12) -> DataFrame:
     better = table.select(F.col("lhs").alias("part"), "rhs", F.col("confidence").alias("c"))
     gone = small.join(better, ["part", "rhs"]).filter(F.col("c") >= F.col("own") - tol).select("lhs", "rhs").distinct()
     return table.join(gone, ["lhs", "rhs"], "left_anti").select(*table.columns)
+
+
+def set_rules(found: DataFrame, least: float = 0.0) -> DataFrame:
+    """Of ``supports`` (items without commas): every rule between a set's nonempty proper parts, as lhs, rhs (comma-joined), n, support,
+    confidence, lift, leverage, conviction. A set has two to the power of its size less two rules; sets are as small as ``supports`` was asked for."""
+    one = F.lit(1).cast("long")
+    own = found.filter("size > 1").select(F.array_sort(F.split("itemset", ",")).alias("items"), "n", "support")
+    split = own.withColumn("mask", F.explode(F.sequence(one, F.call_function("shiftleft", one, F.size("items")) - 2)))
+
+    def part(inside: bool):
+        bit = lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", one, i)) != 0
+        return F.array_join(F.filter(F.col("items"), lambda _, i: bit(i) if inside else ~bit(i)), ",")
+
+    named = found.select(F.array_join(F.array_sort(F.split("itemset", ",")), ",").alias("name"), F.col("n").alias("k"), F.col("support").alias("s"))
+    rules_ = split.select(part(True).alias("lhs"), part(False).alias("rhs"), "n", "support")
+    both = rules_.join(named.toDF("lhs", "nl", "sl"), "lhs").join(named.toDF("rhs", "nr", "sr"), "rhs")
+    c = F.col("n") / F.col("nl")
+    table = both.select("lhs", "rhs", "n", "support", c.alias("confidence"), (c / F.col("sr")).alias("lift"), (F.col("support") - F.col("sl") * F.col("sr")).alias("leverage"), F.when(F.col("n") == F.col("nl"), float("inf")).otherwise((1 - F.col("sr")) / (1 - c)).alias("conviction"))
+    return table.filter(F.col("confidence") >= least)
+
+
+def filtered(table: DataFrame, lhs: str | None = None, rhs: str | None = None, **least: float) -> DataFrame:
+    """Rules whose sides hold an item, and whose measures reach ``least`` (as lift=1.2)."""
+    for side, item in (("lhs", lhs), ("rhs", rhs)):
+        if item is not None:
+            table = table.filter(F.array_contains(F.split(side, ","), item))
+    for name, low in least.items():
+        table = table.filter(F.col(name) >= low)
+    return table
+
+
+def with_improvement(table: DataFrame) -> DataFrame:
+    """Adds improvement: confidence less the greatest of rules with the same rhs and a part of the lhs, or less the rhs's share where lhs has one item."""
+    one = F.lit(1).cast("long")
+    items = F.split("lhs", ",")
+    masks = F.when(F.size(items) > 1, F.sequence(one, F.call_function("shiftleft", one, F.size(items)) - 2))
+    small = table.select("lhs", "rhs", items.alias("items"), F.explode(masks).alias("mask"))
+    small = small.select("lhs", "rhs", F.array_join(F.filter("items", lambda _, i: F.col("mask").bitwiseAND(F.call_function("shiftleft", one, i)) != 0), ",").alias("part"))
+    best = small.join(table.select(F.col("lhs").alias("part"), "rhs", F.col("confidence").alias("_c")), ["part", "rhs"]).groupBy("lhs", "rhs").agg(F.max("_c").alias("_best"))
+    return table.join(best, ["lhs", "rhs"], "left").select(*[table[c] if c not in ("lhs", "rhs") else F.col(c) for c in table.columns], (F.col("confidence") - F.coalesce("_best", F.col("confidence") / F.col("lift"))).alias("improvement"))
+
+
+def evaluated(table: DataFrame, items: DataFrame) -> DataFrame:
+    """lhs, rhs, new_support, new_confidence: rules (lhs, rhs) counted in other baskets (txn, item). Baskets meet only the sides that share an item with them."""
+    total = items.select("txn").distinct().count()
+
+    def counted(sides: DataFrame, name: str) -> DataFrame:
+        """``sides``: side, as comma-joined names. How many baskets hold all its items."""
+        long = sides.distinct().select("side", F.size(F.split("side", ",")).alias("k"), F.explode(F.split("side", ",")).alias("item"))
+        hold = long.join(items.distinct(), "item").groupBy("side", "k", "txn").agg(F.count("*").alias("h")).filter("h = k")
+        return hold.groupBy("side").agg(F.count("*").alias(name))
+
+    whole = table.select("lhs", "rhs", F.array_join(F.array_sort(F.concat(F.split("lhs", ","), F.split("rhs", ","))), ",").alias("side"))
+    both = whole.join(counted(whole.select("side"), "_n"), "side", "left").drop("side").withColumn("side", F.col("lhs")).join(counted(table.select(F.col("lhs").alias("side")), "_l"), "side", "left")
+    n = F.coalesce("_n", F.lit(0))
+    return both.select("lhs", "rhs", (n / total).alias("new_support"), (n / F.col("_l")).alias("new_confidence"))

@@ -51,3 +51,56 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def transition(edges: DataFrame) -> DataFrame:
     """src, dst, probability: one over the out-degree."""
     return edges.join(edges.groupBy("src").agg(F.count("*").alias("d")), "src").select("src", "dst", (1 / F.col("d")).alias("probability"))
+
+
+def google_matrix(nodes: DataFrame, edges: DataFrame, damping: float = 0.85) -> DataFrame:
+    """src, dst, probability of every ordered pair: for a small graph (at most 5,000 nodes, counted), as a table to look at."""
+    n = nodes.count()
+    if n > 5_000:
+        raise ValueError(f"{n} nodes: the whole matrix is formed of at most 5,000")
+    deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
+    every = nodes.select(F.col("id").alias("src")).crossJoin(F.broadcast(nodes.select(F.col("id").alias("dst")))).join(deg, "src", "left")
+    both = every.join(edges.withColumn("on", F.lit(1.0)), ["src", "dst"], "left")
+    step = F.when(F.col("deg").isNull(), 1.0 / n).otherwise(F.coalesce("on", F.lit(0.0)) / F.col("deg"))
+    return both.select("src", "dst", (damping * step + (1 - damping) / n).alias("probability"))
+
+
+def pagerank_direct(nodes: DataFrame, edges: DataFrame, damping: float = 0.85) -> list[tuple[int, float]]:
+    """(id, rank) of a small graph by solving the linear equations, not by steps."""
+    import numpy as np
+
+    rows = google_matrix(nodes, edges, 1.0).collect()
+    ids = sorted({r["src"] for r in rows})
+    at = {k: i for i, k in enumerate(ids)}
+    p = np.zeros((len(ids), len(ids)))
+    for r in rows:
+        p[at[r["src"]], at[r["dst"]]] = r["probability"]
+    rank = np.linalg.solve(np.eye(len(ids)) - damping * p.T, np.full(len(ids), (1 - damping) / len(ids)))
+    return list(zip(ids, (rank / rank.sum()).tolist(), strict=True))
+
+
+def contributions(edges: DataFrame, ranks: DataFrame, damping: float = 0.85) -> DataFrame:
+    """src, dst, sent: the rank that each link hands on."""
+    return transition(edges).join(ranks.select(F.col("id").alias("src"), "rank"), "src").select("src", "dst", (damping * F.col("rank") * F.col("probability")).alias("sent"))
+
+
+def random_surfer(nodes: DataFrame, edges: DataFrame, steps: int = 20, surfers: int = 1000, damping: float = 0.85, seed: int = 1) -> DataFrame:
+    """id, visits, share: many surfers walk ``steps`` steps side by side, each a join; the draws are digests of surfer and step."""
+    from lumenstat.operators.order import placed
+    from lumenstat.operators.resample import hashed
+
+    spark, n = nodes.sparkSession, nodes.count()
+    homes = placed(nodes.select("id"), "id", "at").select("id", "at")
+    out = edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to"))  # a node's own links
+    now = spark.range(surfers).select(F.col("id").alias("surfer"), F.pmod(hashed("id", seed), F.lit(n)).alias("at")).join(homes, "at").select("surfer", "id")
+    seen = now
+    for step in range(1, steps + 1):
+        key = F.concat_ws(":", F.col("surfer").cast("string"), F.lit(str(step)))
+        u, v = hashed(key, seed) / float(1 << 32), hashed(key, seed + 1)
+        moved = now.join(out, now["id"] == out["src"], "left").withColumn("jump", F.col("to").isNull() | (u >= damping))
+        moved = moved.select("surfer", F.when(~F.col("jump"), F.element_at("to", (F.pmod(v, F.size("to")) + 1).cast("int"))).alias("next"), F.pmod(v, F.lit(n)).alias("at"))
+        now = moved.join(homes, "at").select("surfer", F.coalesce("next", "id").alias("id"))
+        if step % 5 == 0:
+            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now
+        seen = seen.unionByName(now)
+    return seen.groupBy("id").agg(F.count("*").alias("visits")).withColumn("share", F.col("visits") / float(surfers * (steps + 1)))
