@@ -42,7 +42,7 @@ def pinball(r: Column, tau: float) -> Column:
 
 def fold(key: Column, k: int) -> Column:
     """A fold number from integer arithmetic on a key, the same on any engine."""
-    return F.pmod(key * 7919 + 104729, F.lit(k)).cast("int")
+    return F.pmod(F.pmod(key, F.lit(k)) * 7919 + 104729, F.lit(k)).cast("int")  # the remainder first: no key is too large
 
 
 def bspline1(x: Column, knots: list[float]) -> list[Column]:

@@ -12,6 +12,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
     """``nodes``: id; ``edges``: src, dst, distinct. ``teleport``: id, weight, for personal ranks (none: all alike). Returns id, rank after ``steps`` steps, or after the first that moves all ranks together by less than ``tol``. Lineage is cut by checkpoint()."""
     sc = nodes.sparkSession.sparkContext
     if not (nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenstat-"))
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))

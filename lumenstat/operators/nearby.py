@@ -8,10 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstat.operators.cluster import squared_distance
+from lumenstat.operators.cluster import MOST_QUERIES, squared_distance
 
-#: Most queries that are sent to every partition of the data; more must be asked in parts.
-MOST_QUERIES = 100_000
 #: Most distinct points whose distances are held on the driver.
 MOST_POINTS = 4_000
 
@@ -80,7 +78,7 @@ def medoids(points: DataFrame, label: str, vec: str, weight: str, metric: str =
     a, b = points.select(label, F.col(vec).alias("vec")), points.select(label, F.col(vec).alias("_v"), F.col(weight).alias("_w"))
     cost = a.join(b, label).groupBy(label, "vec").agg(F.sum(F.col("_w") * DISTANCES[metric](F.col("vec"), F.col("_v"))).alias("cost"))
     order = Window.partitionBy(label).orderBy(F.round("cost", 9), "vec")
-    return cost.withColumn("r", F.row_number().over(order)).filter("r = 1").select(label, "vec", "cost")
+    return cost.withColumn("r", F.row_number().over(order)).filter("r = 1").select(label, F.col("vec").alias(vec), "cost")
 
 
 def _points(points: DataFrame, vec: str, weight: str, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ def hard_threshold(x: Column, t: Column | float) -> Column:
 def noise_level(level: DataFrame, detail: str = "detail") -> float:
     """Median absolute detail over 0.6745: of normal noise, its standard deviation. Absolute details are counted by value first."""
     counts = level.groupBy(F.abs(F.col(detail)).alias("a")).agg(F.count("*").alias("n"))
-    return (counts.agg(F.percentile("a", 0.5, "n")).first()[0] or 0.0) / 0.6745
+    return (counts.agg(F.percentile("a", 0.5, F.col("n"))).first()[0] or 0.0) / 0.6745
 
 
 def universal_threshold(sigma: float, n: int) -> float:
