@@ -151,7 +151,7 @@ class Model:
 
     def train(self, units: np.ndarray, doc: np.ndarray, rng: np.random.Generator, past: dict[str, np.ndarray]) -> None:
         """One pass of noise-contrastive steps with adaptive rates; ``past`` holds squared gradients."""
-        before, p, sizes = self.context(units, doc), self.params, self.last - self.first
+        p, sizes = self.params, self.last - self.first
         shift = np.log(NOISE) + self.log_class
         inner_shift = np.log(INNER) + self.log_word
         low = np.append(0.0, self.word_edges)[self.first] if self.n_classes else np.zeros(0)
@@ -166,7 +166,9 @@ class Model:
             x[rows] -= RATE * g / np.sqrt(total + 1.0)
 
         for lo in range(0, len(units), BATCH):
-            u, near = units[lo : lo + BATCH], before[lo : lo + BATCH]
+            from_ = max(lo - CONTEXT, 0)
+            u = units[from_ : lo + BATCH].astype(np.int64)
+            near, u = self.context(u, doc[from_ : lo + BATCH])[lo - from_ :], u[lo - from_ :]
             y = self.of[u]
             seen = r[near]
             h = np.ones((len(u), DIM + 1), np.float32)
@@ -252,9 +254,10 @@ def trained(units: DataFrame, model: Model, scratch: Scratch, shards: int) -> Mo
         first = m.flat()
         t = t.sort_by([("key", "ascending"), ("own", "ascending")])
         lists = t["units"].combine_chunks()
-        flat = lists.flatten().to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        flat = lists.flatten().to_numpy()
+        doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
         part = t["shard"][0].as_py()
+        del t, lists
         m.train(flat, doc, np.random.default_rng([5, part]), {k: np.zeros_like(x) for k, x in m.params.items()})
         x = m.flat()
         m.load(first)  # the broadcast object is reused by this worker
