@@ -309,6 +309,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
                 lo = hi
+        t.cache.clear()  # the worker may run other operators next
 
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<bigint>, decoded string" if with_ids else "")
     return mapped(docs.select(F.col(id_col), filled(F.col(text_col)).alias("text")), run, schema)
