@@ -26,6 +26,44 @@ def haar_inverse(level: DataFrame) -> DataFrame:
     return level.select("n", F.inline(both)).filter("n = 2 OR place % 2 = 0").select("place", "value")
 
 
+def haar_levels(df: DataFrame, place: str, value: str, levels: int) -> DataFrame:
+    """level, k, detail, n: details of levels 1 to ``levels``, and at level 0 the scaled sums that are left. Each level is an aggregation of the one before."""
+    now, out = df.select(F.col(place).cast("long").alias("place"), F.col(value).cast("double").alias("value")), None
+    for level in range(1, levels + 1):
+        pairs = haar_pairs(now, "place", "value")
+        part = pairs.select(F.lit(level).alias("level"), "k", "detail", "n")
+        out = part if out is None else out.unionByName(part)
+        now = pairs.select(F.col("k").alias("place"), F.col("mean").alias("value"))
+    rest = now.select(F.lit(0).alias("level"), F.col("place").alias("k"), F.col("value").alias("detail"), F.lit(1).cast("long").alias("n"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def haar_rebuilt(table: DataFrame, levels: int) -> DataFrame:
+    """place, value from ``haar_levels``, perhaps with changed or missing details (missing ones are 0; a level's k must be there)."""
+    now = table.filter("level = 0").select(F.col("k"), F.col("detail").alias("mean"))
+    for level in range(levels, 0, -1):
+        part = table.filter(F.col("level") == level).select("k", "detail", "n")
+        now = haar_inverse(part.join(now, "k")).select(F.col("place").alias("k"), F.col("value").alias("mean"))
+    return now.select(F.col("k").alias("place"), F.col("mean").alias("value"))
+
+
+def thresholded(table: DataFrame, threshold: float, soft: bool = True, of: list[int] | None = None) -> DataFrame:
+    """``haar_levels`` with the details of the levels ``of`` (all) shrunk or cut."""
+    d = F.col("detail")
+    hit = F.col("level") > 0 if of is None else F.col("level").isin(of)
+    return table.withColumn("detail", F.when(hit, soft_threshold(d, threshold) if soft else hard_threshold(d, threshold)).otherwise(d))
+
+
+def without_fine_levels(table: DataFrame, count: int) -> DataFrame:
+    """Details of the finest ``count`` levels set to 0."""
+    return table.withColumn("detail", F.when((F.col("level") > 0) & (F.col("level") <= count), 0.0).otherwise(F.col("detail")))
+
+
+def nonzero_details(table: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """level, nonzero, n."""
+    return table.filter("level > 0").groupBy("level").agg(F.count_if(F.abs("detail") > tol).alias("nonzero"), F.count("*").alias("n"))
+
+
 def hard_threshold(x: Column, t: Column | float) -> Column:
     return F.when(F.abs(x) > t, x).otherwise(0.0)
 

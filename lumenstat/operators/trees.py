@@ -54,14 +54,15 @@ def _bin(x: Column, at: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c < x))
 
 
-def best_splits(df: DataFrame, cuts: dict[str, list[float]], y: str, node: Column, weight: Column | None = None, min_leaf: float = 5, opposed: bool = False) -> DataFrame:
+def best_splits(df: DataFrame, cuts: dict[str, list[float]], y: str, node: Column, weight: Column | None = None, min_leaf: float = 5, opposed: bool = False, allowed: Column | None = None) -> DataFrame:
     """node, f, cut, gain, nl, sl, nr, sr: the split of each node with the greatest fall in squared error.
 
-    With ``opposed`` the gain is |left sum - right sum|, which is greatest where a vote of opposite signs errs least.
+    With ``opposed`` the gain is |left sum - right sum|, which is greatest where a vote of opposite signs errs least. ``allowed`` is a condition on node and f (a feature's number): which features each node may take.
     """
     w = weight if weight is not None else F.lit(1.0)
     bins = [F.struct(F.lit(k).alias("f"), _bin(F.col(x), at).alias("bin")) for k, (x, at) in enumerate(cuts.items())]
     rows = df.select(node.alias("node"), w.alias("w"), (w * F.col(y)).alias("wy"), F.explode(F.array(*bins)).alias("b"))
+    rows = rows if allowed is None else rows.withColumn("f", F.col("b.f")).filter(allowed).drop("f")
     cells = rows.groupBy("node", "b.f", "b.bin").agg(F.sum("w").alias("n"), F.sum("wy").alias("s"))
     part = Window.partitionBy("node", "f")
     run = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
