@@ -4,10 +4,12 @@ A document is a bag of passages of PASSAGE words, all of them encoded: shares of
 word lengths, capitals and repetition. A hidden layer, gated attention over the passages and a logistic
 output are trained together on document labels, by Adam in numpy; the weighted passage
 representation gives the score. Labels come from rows outside the held-out fold only, in a bounded
-sample (LOW_ROWS and HIGH_ROWS rows, by hash of the id); every document is scored.
+sample (LOW_ROWS and HIGH_ROWS rows, by hash of the id, and of these as many as have FIT_PASSAGES passages together,
+some 40 MB on the driver); every document is scored, by all its passages.
 
-Null and empty texts are one passage of zeros. Without labels of both kinds every score is 0.5. Null
-ids count as the empty text in the split. Rows that repeat are scored each.
+Null and empty texts are one passage of zeros. Without labels of both kinds, and so for empty tables, every score is
+0.5. Null ids count as the empty text in the split. Rows that repeat are scored each; of rows that repeat an id the
+text of least hash teaches. A text's passages are held in one task's memory, at some 60 bytes a byte of it.
 """
 
 from __future__ import annotations
@@ -16,14 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenstat.llm.shared import as_bytes, filled, mapped, pieces
+from lumenstat.llm.shared import Scratch, as_bytes, filled, mapped, pieces
 from lumenstat.llm.words import Batch
 
 PASSAGE = 64
 LOW_ROWS, HIGH_ROWS = 2500, 7500
+FIT_PASSAGES = 200_000
 HIDDEN, GATE = 16, 8
 GOOD = 0.3
 
@@ -135,6 +138,8 @@ class AttentionModel:
 
 def fitted(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     """``docs``: doc_id, text; ``labels``: doc_id, quality."""
+    kind, scratch = docs.schema["doc_id"].dataType.simpleString(), Scratch(docs.sparkSession)
+    labels = labels.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     by_hash = F.xxhash64("doc_id", F.lit(21))
     picked = marked.filter("quality = 0").orderBy(by_hash, "doc_id").limit(LOW_ROWS).unionByName(marked.filter("quality = 1").orderBy(by_hash, "doc_id").limit(HIGH_ROWS))
@@ -147,12 +152,23 @@ def fitted(docs: DataFrame, labels: DataFrame) -> AttentionModel:
                 x, n = passages(texts[lo:hi])
                 cut = np.concatenate([[0], np.cumsum(n)])
                 rows = [x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
-
-    rows = mapped(found, run, "doc_id bigint, quality int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if not len(rows):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(rows, pa.binary()), pa.array(n.astype(np.int64))], ["doc_id", "quality", "x", "n"])
+
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("x"))
+    rows = mapped(found, run, f"doc_id {kind}, quality int, x binary, n bigint").withColumn("k", F.row_number().over(once)).filter("k = 1").drop("k")
+    rows = scratch.write(rows, "passages")
+    sizes, total, taken = rows.select("doc_id", "n").orderBy(by_hash, "doc_id").collect(), 0, []  # a row for each sampled label
+    for r in sizes:
+        if total + r["n"] <= FIT_PASSAGES:
+            total += r["n"]
+            taken.append((r["doc_id"],))
+    if not taken:
+        scratch.close()
         return AttentionModel()
-    return AttentionModel().fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in rows["x"]], rows["quality"].to_numpy(float))
+    own = F.broadcast(docs.sparkSession.createDataFrame(taken, f"doc_id {kind}"))
+    got = rows.join(own, "doc_id", "left_semi").orderBy("doc_id").select("quality", "x").toArrow()
+    scratch.close()
+    return AttentionModel().fit([np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES) for x in got["x"]], got["quality"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: AttentionModel) -> DataFrame:
