@@ -42,7 +42,7 @@ SKETCH_BITS = 22  # counters of the frequency sketch; 4 bits each are broadcast
 SIGN_BITS = {"bits": 256, "whole": 512}  # bits of the signatures of a prefix and of a whole set, multiples of 64
 HUBS = 3  # groups of each list that all others meet in the first round
 MASK_BITS = (16, 28)  # least and most bits, as powers of two, of the bitmap of documents whose whole sets are wanted; the rest is left to the join
-BLOCK = 1 << 12
+BLOCK = 1 << 10  # cells of the sketch in a row
 
 
 def frequency_classes(docs: DataFrame, width: int, scratch: Scratch, bits: int = SKETCH_BITS) -> bytes:
@@ -69,13 +69,21 @@ def frequency_classes(docs: DataFrame, width: int, scratch: Scratch, bits: int =
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([cells[k].astype("<u4").tobytes() for k in part], pa.binary())], ["block", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block = np.zeros(BLOCK, np.uint64), None
+        """Sums of rows that come block by block."""
+        block, total = None, np.zeros(BLOCK, np.uint64)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["block", "cells", "n"])
+
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                block = k
+                if k != block:
+                    if block is not None:
+                        yield row()
+                    block, total = k, np.zeros(BLOCK, np.uint64)
                 total += np.frombuffer(x, "<u4")
         if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.astype("<u8").tobytes()], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["block", "cells", "n"])
+            yield row()
 
     def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,7 +93,7 @@ def frequency_classes(docs: DataFrame, width: int, scratch: Scratch, bits: int =
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(kind)], pa.binary())], ["block", "cells"])
 
     parts = mapped(docs.select("text"), count, "block int, cells binary")
-    sums = scratch.write(parts.groupBy("block").applyInArrow(add, "block int, cells binary, n long"), "sketch")
+    sums = scratch.write(mapped(parts.repartition("block").sortWithinPartitions("block"), add, "block int, cells binary, n bigint"), "sketch")
     usual = 4 + 2 * (sums.agg(F.sum("n")).first()[0] or 0) / size
     out = bytearray(size // 2)
     for row in mapped(sums.select("block", "cells"), graded, "block int, cells binary").collect():
