@@ -41,7 +41,7 @@ CONTEXT, DIM = 4, 16
 BATCH, NOISE, INNER = 4096, 32, 4  # tokens of a step; noise classes of a step, and noise words of each class
 RATE = 0.08
 ROUNDS, SHARD = 2, 1 << 22
-FAN, BLOCK = 64, 1 << 13  # shards added up together; numbers of the model in a row
+FAN, BLOCK = 64, 1 << 9  # shards added up together; numbers of the model in a row
 KNOWN = 1 << 17  # most frequent words, scored where the text is; the rest by a join
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 
@@ -249,35 +249,62 @@ def _log_share(s: np.ndarray, own: np.ndarray) -> np.ndarray:
 def trained(units: DataFrame, model: Model, scratch: Scratch, shards: int) -> Model:
     """Train on every row of ``units`` (shard, key, own, units): in each round every one of its shards from the same start, then their mean by tokens."""
 
-    def train(t: pa.Table) -> pa.Table:
-        m: Model = start.value
-        first = m.flat()
-        t = t.sort_by([("key", "ascending"), ("own", "ascending")])
-        lists = t["units"].combine_chunks()
-        flat = lists.flatten().to_numpy()
-        doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-        part = t["shard"][0].as_py()
-        del t, lists
-        m.train(flat, doc, np.random.default_rng([5, part]), {k: np.zeros_like(x) for k, x in m.params.items()})
-        x = m.flat()
-        m.load(first)  # the broadcast object is reused by this worker
-        cut = range(0, len(x), BLOCK)
-        return pa.table({"block": pa.array(range(len(cut)), pa.int32()), "part": pa.array([part // ROUNDS] * len(cut), pa.int64()), "x": pa.array([(x[lo : lo + BLOCK] * np.float64(len(flat))).tobytes() for lo in cut], pa.binary()), "n": pa.array([len(flat)] * len(cut), pa.int64())})
-
-    def add(t: pa.Table) -> pa.Table:
-        t = t.sort_by("part")
-        x = np.zeros(len(t["x"][0].as_py()) // 8)
-        for one in t["x"]:
-            x += np.frombuffer(one.as_py(), float)
-        return pa.table({"block": t["block"].slice(0, 1), "part": pa.array([t["part"][0].as_py() // FAN], pa.int64()), "x": pa.array([x.tobytes()], pa.binary()), "n": pa.array([sum(t["n"].to_pylist())], pa.int64())})
-
-    schema = "block int, part long, x binary, n long"
+    names = ["block", "part", "x", "n"]
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come shard by shard, in order of id; one shard is held at a time."""
+        shard, lists = -1, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            m: Model = start.value
+            first, flat = m.flat(), np.concatenate([x for part in lists for x in part])
+            doc = np.repeat(np.arange(sum(map(len, lists)), dtype=np.int32), [len(x) for part in lists for x in part])
+            lists.clear()
+            m.train(flat, doc, np.random.default_rng([5, shard]), {k: np.zeros_like(x) for k, x in m.params.items()})
+            x = m.flat()
+            m.load(first)  # the broadcast object is reused by this worker
+            cut = range(0, len(x), BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([shard // ROUNDS] * len(cut), pa.int64()), pa.array([(x[lo : lo + BLOCK] * np.float64(len(flat))).tobytes() for lo in cut], pa.binary()), pa.array([len(flat)] * len(cut), pa.int64())], names)
+
+        for b in batches:
+            of, cut = b.column(0).to_numpy(), b.column(1).offsets.to_numpy()
+            flat = b.column(1).values.to_numpy()
+            for i in range(len(of)):
+                if of[i] != shard:
+                    if lists:
+                        yield from done()
+                    shard = int(of[i])
+                if not lists or len(lists[-1]) >= 4096:
+                    lists.append([])
+                lists[-1].append(flat[cut[i] : cut[i + 1]].copy())
+        if lists:
+            yield from done()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of rows that come by block and upper part, in order of part."""
+        at, x, n = None, np.zeros(0), 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([n], pa.int64())], names)
+
+        for b in batches:
+            for block, part, one, k in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (block, part // FAN) != at:
+                    if at is not None:
+                        yield row()
+                    at, x, n = (block, part // FAN), np.zeros(len(one) // 8), 0
+                x, n = x + np.frombuffer(one, float), n + k
+        if at is not None:
+            yield row()
+
+    schema = "block int, part bigint, x binary, n bigint"
     for k in range(ROUNDS):
         start = units.sparkSession.sparkContext.broadcast(model)
-        rows = units.filter(F.col("shard") % ROUNDS == k).select("shard", "key", "own", "units")
-        sums, left = scratch.write(rows.groupBy("shard").applyInArrow(train, schema), "parts"), -(-shards // ROUNDS)
+        rows = units.filter(F.col("shard") % ROUNDS == k).repartition("shard").sortWithinPartitions("shard", "key", "own")
+        sums, left = scratch.write(mapped(rows.select("shard", "units"), train, schema), "parts"), -(-shards // ROUNDS)
         while True:
-            sums, left = sums.groupBy("block", F.floor(F.col("part") / FAN).alias("up")).applyInArrow(lambda key, t: add(t), schema), -(-left // FAN)
+            up = sums.withColumn("up", F.floor(F.col("part") / FAN)).repartition("block", "up").sortWithinPartitions("block", "up", "part")
+            sums, left = mapped(up.select(*names), add, schema), -(-left // FAN)
             if left <= 1:
                 break
             sums = scratch.write(sums, "parts")
