@@ -76,13 +76,13 @@ def test_language_model_beats_counts_on_held_out_text(spark):
     assert p.score.sum() > p.base_score.sum()
 
 
-def test_exact_dedup_index(spark, odd, none):
-    scratch, index = Scratch(spark), exact.DigestIndex(spark, "test_digests")
+def test_exact_dedup_index(spark, odd, none, tmp_path):  # indexes persist: each run has folders of its own
+    scratch, index = Scratch(spark), exact.DigestIndex(spark, "test_digests", f"file://{tmp_path}/a")
     got = exact.deduplicated(odd, index, scratch).collect()
     assert {(r.keep_id, r.group_size) for r in got if r.doc_id == 4} == {(5, 4)}
     assert {r.keep_id for r in got if r.doc_id in (1, 2)} == {2}
     assert sum(r.kept for r in got if r.doc_id == 5) == 2  # repeated rows share a decision
-    kept = exact.keep_first_copies(odd, exact.deduplicated(odd, exact.DigestIndex(spark, "test_digests2"), scratch)).collect()
+    kept = exact.keep_first_copies(odd, exact.deduplicated(odd, exact.DigestIndex(spark, "test_digests2", f"file://{tmp_path}/b"), scratch)).collect()
     assert len(kept) == len({r[1] or "" for r in ODD})
     again = exact.deduplicated(odd, index, scratch)
     assert again.filter("kept").count() == 0 and index.table().count() == len({r[1] or "" for r in ODD})
