@@ -11,16 +11,18 @@ Null texts and texts without words have size 0 and are taken 0 words. Null is a
 last in order. Rows that repeat are documents of their own. An empty table gives an empty result.
 The random numbers are seeded by source, level and group, and groups are formed by hash of id and text:
 reruns agree however the rows are dealt. Rows without an id are told apart by their texts. One row per source meets on the driver, as a catalogue.
+Texts are only counted and hashed, in the JVM, whatever their length. Ids and carried columns pass through unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,18 +69,34 @@ def pivotal(sizes: list[int], parts: list[float], rng: random.Random) -> tuple[l
     return out, held
 
 
-def _settle(level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "size", "grp0", "own"], kind="stable")
-        seed = f"{pdf['src'].iloc[0]!r}|{level}|{pdf['grp'].iloc[0]}"
-        rng = random.Random(hashlib.blake2b(seed.encode(), digest_size=8).digest())
-        part, held = pivotal(pdf["size"].tolist(), pdf["part"].tolist(), rng)
-        pdf["part"], pdf["open"] = part, [i == held for i in range(len(pdf))]
-        return pdf
+def _settle(level: int) -> Callable[[pa.Table], pa.Table]:
+    """Rounds the rows of each (src, grp) of a table; the other columns, ids among them, stay in Arrow as they are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("src", "grp", "key", "size", "grp0", "own")])
+        src, grp, size, part = (t[c].to_pylist() for c in ("src", "grp", "size", "part"))
+        done: list[float] = []
+        still: list[bool] = []
+        for (s, g), rows in itertools.groupby(range(t.num_rows), key=lambda i: (src[i], grp[i])):
+            own = list(rows)
+            rng = random.Random(hashlib.blake2b(f"{s!r}|{level}|{g}".encode(), digest_size=8).digest())
+            found, held = pivotal([size[i] for i in own], [part[i] for i in own], rng)
+            done += found
+            still += [i == held for i in range(len(own))]
+        for name, values in (("part", pa.array(done, pa.float64())), ("open", pa.array(still, pa.bool_()))):
+            t = t.set_column(t.column_names.index(name), name, values)
+        return t
 
     return run
 
 
+def _settled(rows: DataFrame, level: int, tasks: int) -> DataFrame:
+    """Groups meet by a hash of source and group, so that many small sources share a task's call."""
+    at = spare(rows, "_at")
+    dealt = rows.withColumn(at, F.pmod(F.xxhash64("src", "grp", F.lit(level)), F.lit(tasks)))
+    return dealt.groupBy(at).applyInArrow(_settle(level), dealt.schema).drop(at)
+
+
 def mixed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target, taken, copies, and the columns of ``carry`` (SQL, name) pairs."""
     text = filled(F.col(text_col))
@@ -98,13 +116,13 @@ def mixed(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: s
         "whole": whole.cast("long"), "part": F.greatest(F.col("rate") - whole, F.lit(0.0)), "key": F.coalesce(F.col("doc_id"), F.lit(-1)),
         "grp0": F.pmod(F.xxhash64("doc_id", "own"), F.col("groups")), "open": F.lit(False),
     }).withColumn("grp", F.col("grp0"))
-    out = scratch.write(joined.groupBy("src", "grp").applyInPandas(_settle(0), joined.schema), "level0")
+    out = scratch.write(_settled(joined, 0, max(1, math.ceil(sum(n_docs.values()) / GROUP))), "level0")
     waiting = out.filter("open").select("src", "size", "own", "key", "grp0", "grp", "part", "open")
     level, most = 0, max([1, *(r.groups for r in table.select("groups").collect())])
     while most > 1:
         level, most = level + 1, math.ceil(most / FAN)
         waiting = waiting.withColumn("grp", F.floor(F.col("grp") / FAN))
-        done = scratch.write(waiting.groupBy("src", "grp").applyInPandas(_settle(level), waiting.schema), f"level{level}")
+        done = scratch.write(_settled(waiting, level, max(1, math.ceil(sum(n_docs.values()) / GROUP / FAN**level))), f"level{level}")
         late = done.filter("NOT open") if level == 1 else late.unionByName(done.filter("NOT open"))
         waiting = done.filter("open")
     chance = F.pmod(F.xxhash64("src", "key", "own"), F.lit(1 << 30)) / float(1 << 30)
