@@ -114,8 +114,8 @@ def candidates(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and the others to be judged; these touch no base span."""
     kept, more = base_spans(text)
     if "[" in text or "(" in text:
-        more += [(kind, *m.span()) for kind, rule in _LOOSE.items() for m in rule.finditer(text)]
-    elif _ANY.search(text):
+        more += [("email", *m.span()) for m in _LOOSE["email"].finditer(text)]
+    if _ANY.search(text):
         more += [("phone", *m.span()) for m in _LOOSE["phone"].finditer(text)]
         more += [("secret", *m.span()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
     taken = sorted((a, b) for _, a, b in kept)
