@@ -7,10 +7,11 @@ before it, which in training come from models of other folds.
 
 Labels come from a bounded sample (TOXIC_ROWS and CLEAN_ROWS labelled rows, by hash of the id); every document is
 scored. The FEATURES that tell the kinds apart best are counted and chosen on the executors; the driver gets those
-and, for each sampled row, which of them it has: at most 2 * FEATURES bytes a row, however long its text.
+and, for each sampled row, which of them it has: at most 8 * FEATURES bytes a row, however long its text.
 
 Null and empty texts have no features and get the chain's base rate. Rows whose label is null or whose document is
-missing teach nothing; without labels of both kinds, and so for empty tables, every document scores 0. Rows that
+missing teach nothing; without labels of both kinds, and so for empty tables, every document scores 0; where no feature
+occurs in three labelled rows, every document scores the base rate. Rows that
 repeat are scored each; of rows that repeat an id the text of least hash teaches. Equally telling features are taken
 by hash. A document is rejected from a probability of 0.5. A text's features are held in one task's memory, at some
 80 bytes a word.
@@ -138,6 +139,8 @@ class Chain:
         """Probabilities, (texts, links), from distinct (text, feature) pairs."""
         if not self.names:
             return np.zeros((n, 1))
+        if not len(self.hashes):  # no feature was seen often enough: the base rates are left
+            doc, h = doc[:0], h[:0]
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         ok = self.hashes[at] == h
         at, doc = at[ok], doc[ok]
