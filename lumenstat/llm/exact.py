@@ -41,7 +41,7 @@ class DigestIndex:
     """A persistent set of text digests under ``path``; ``name`` is its table in the catalog."""
 
     def __init__(self, spark: SparkSession, name: str, path: str | None = None, buckets: int | None = None) -> None:
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.name, self.buckets, self.kind = spark, name, buckets, "bigint"
         self.path = path or f"{shared_dir(spark)}/{name}"
 
     def _folders(self) -> list[str]:
@@ -53,11 +53,16 @@ class DigestIndex:
         whole = [x for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
         return sorted(f"{self.path}/{x.getName()}" for x in whole)
 
-    def open(self, rows: int = 0) -> None:
-        """Create the table for a first batch of ``rows``, or attach it to files that an earlier session left at its path."""
+    def open(self, rows: int = 0, kind: str = "bigint") -> None:
+        """Create the table for a first batch of ``rows`` with ids of type ``kind``, or attach it to files that an earlier session left at
+        its path. A table that the catalog has, of this session or one before, is taken where it lies."""
         if self.spark.catalog.tableExists(self.name):
+            self.folder = next(r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect() if r["col_name"] == "Location").rstrip("/")
+            self.path, self.buckets = self.folder.rsplit("/", 1)[0], int(self.folder.rsplit("-", 1)[1])
+            self.kind = self.table().schema["keep_id"].dataType.simpleString()
             return
         old = self._folders()
+        self.kind = self.spark.read.parquet(old[-1]).schema["keep_id"].dataType.simpleString() if old else kind
         folder = old[-1] if old else f"{self.path}/v000000-{self.buckets or max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))}"
         self.buckets = int(folder.rsplit("-", 1)[1])  # the number of buckets is part of a folder's name
         self._attach(folder)
@@ -65,7 +70,7 @@ class DigestIndex:
     def _attach(self, folder: str) -> None:
         self.folder = folder
         self.spark.sql(
-            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
+            f"CREATE TABLE {self.name} (text_sha256 STRING, keep_id {self.kind}, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{folder}'"
         )
 
@@ -114,7 +119,7 @@ def deduplicated(docs: DataFrame, index: DigestIndex, scratch: Scratch, id_col:
     rows = scratch.write(digests(docs, id_col, text_col), "digests")
     groups = scratch.write(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     total, distinct = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count("*")).first()
-    index.open(distinct)
+    index.open(distinct, rows.schema["doc_id"].dataType.simpleString())
     known = index.table().filter(F.col("batch") != batch).select("text_sha256").hint("merge")
     seen = scratch.write(groups.join(known, "text_sha256", "left_semi").select("text_sha256"), "known")
     index.append(groups, batch)
