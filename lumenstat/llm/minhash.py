@@ -6,7 +6,9 @@ with a odd, give a node its minima; each band of BAND minima is one key, and nod
 a similarity s two nodes share no key with probability (1 - s**BAND)**(HASHES/BAND): 6e-11 at 0.85, 2e-8 at 0.8.
 
 Candidates must fit in size, and their signatures (four bits of each minimum) must not differ in more bits than a pair
-of the least similarity does but for APART standard deviations. Those that remain are confirmed on whole sets.
+of the least similarity does but for APART standard deviations. A second signature holds the parity of the set's shingles
+in each of PARITY cells: two differ in no more bits than the sets differ in shingles, so that a pair that fails cannot
+link. Those that remain are confirmed on whole sets.
 
 Links are found in rounds, so that a large group of near copies never becomes all its pairs. In each round a key's
 nodes meet the key's hub, the node of least hash among them, the same for all keys of a round, and each node tries the
@@ -39,7 +41,8 @@ from lumenstat.llm.words import Batch, mix, shingles
 HASHES, BAND = 128, 4
 BITS = 4  # of each minimum, in the signature
 APART = 6  # standard deviations that a linked pair's signatures may lie beyond their mean
-ROUNDS = 2  # of hubs, before the pairs that are left
+PARITY = 512  # cells, a multiple of 64
+ROUNDS = 3  # of hubs, before the pairs that are left
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,6 +76,12 @@ def signature(least: np.ndarray) -> np.ndarray:
     return (low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the shingles, packed."""
+    odd = np.bincount((found & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def set_key(found: np.ndarray) -> np.int64:
     """A hash of a whole set; 0 for the empty one."""
     return np.int64(0) if not len(found) else mix(np.bitwise_xor.reduce(mix(found ^ np.uint64(0x5BD1E995)))[None] + found.sum(dtype=np.uint64)).view(np.int64)[0]
@@ -90,7 +99,7 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node, n, keys, bits of every row of ``docs`` (doc_id, text); empty sets have no keys."""
+    """doc_id, node, n, keys, bits, odd of every row of ``docs`` (doc_id, text); empty sets have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,13 +108,13 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingles(Batch(texts[lo:hi]), width)
                 size = np.array([len(s) for s in sets])
                 some = np.flatnonzero(size)
-                keys, bits = np.zeros((hi - lo, HASHES // BAND), np.int64), np.zeros((hi - lo, HASHES * BITS // 64), np.int64)
+                keys, bits, odd = (np.zeros((hi - lo, k), np.int64) for k in (HASHES // BAND, HASHES * BITS // 64, PARITY // 64))
                 if len(some):
                     least = minima([sets[i] for i in some])
-                    keys[some], bits[some] = bands(least), signature(least)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(size, pa.int64()), _lists(keys), _lists(bits)], ["doc_id", "node", "n", "keys", "bits"])
+                    keys[some], bits[some], odd[some] = bands(least), signature(least), np.stack([parity(sets[i]) for i in some])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(size, pa.int64()), _lists(keys), _lists(bits), _lists(odd)], ["doc_id", "node", "n", "keys", "bits", "odd"])
 
-    return mapped(docs, run, "doc_id bigint, node bigint, n bigint, keys array<bigint>, bits array<bigint>")
+    return mapped(docs, run, "doc_id bigint, node bigint, n bigint, keys array<bigint>, bits array<bigint>, odd array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, width: int, mask: object, mask_bits: int) -> DataFrame:
@@ -126,8 +135,12 @@ def _whole_sets(docs: DataFrame, width: int, mask: object, mask_bits: int) -> Da
 
 
 def _signs_fit(x: str, y: str, percent: int) -> Column:
-    differ = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(HASHES * BITS // 64)), F.lit(0))
-    return _sizes_fit(F.col(f"{x}.n"), F.col(f"{y}.n"), percent) & (differ <= most_apart(percent))
+    def apart(name: str, words: int) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.{name}")[k].bitwiseXOR(F.col(f"{y}.{name}")[k])) for k in range(words)), F.lit(0))
+
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)  # shingles that linked sets of these sizes share
+    return _sizes_fit(a, b, percent) & (apart("bits", HASHES * BITS // 64) <= most_apart(percent)) & (a + b - apart("odd", PARITY // 64) >= 2 * need)
 
 
 def joined(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,11 +148,11 @@ def joined(docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 85,
     sc = scratch.spark.sparkContext
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(F.col(text_col)).alias("text"))
     rows = scratch.write(signed(docs, width), "rows")
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.first("odd").alias("odd"))
     nodes = scratch.write(nodes, "nodes")
     entries = nodes.select("node", F.explode("keys").alias("key"))
     shared = scratch.write(entries.join(entries.groupBy("key").count().filter("count > 1").select("key"), "key"), "shared")
-    ends = scratch.write(nodes.join(shared.select("node").distinct(), "node").select("node", "doc_id", F.struct("n", "bits").alias("sign")), "ends")
+    ends = scratch.write(nodes.join(shared.select("node").distinct(), "node").select("node", "doc_id", F.struct("n", "bits", "odd").alias("sign")), "ends")
     signs = ends.select("node", "sign")
     mask_bits = min(max(ends.count().bit_length() + 6, MASK_BITS[0]), MASK_BITS[1])
 
