@@ -94,6 +94,43 @@ def adaptive_splines(df: DataFrame, x: list[str], y: str, most: int = 11, degree
     return model, sum((b * _column(t) for t, b in model), F.lit(0.0))
 
 
+def described(term: Term) -> str:
+    """A term in words: its hinges, or the constant."""
+    return " * ".join(f"max(0, {name} - {knot:g})" if sign > 0 else f"max(0, {knot:g} - {name})" for name, knot, sign in term) or "1"
+
+
+def spline_importance(df: DataFrame, model: list[tuple[Term, float]], x: list[str], y: str) -> dict[str, tuple[int, float]]:
+    """Of each column: the number of its terms, and by how much squared error a row rises when these go and the rest is fitted anew. One pass."""
+    terms = [t for t, _ in model if t]
+    names = [f"t{i}" for i in range(len(terms))]
+    data = df.dropna(subset=[*x, y])
+    m = matrix(gram(data.select(*[_column(t).alias(n) for t, n in zip(terms, names, strict=True)], F.col(y).cast("double").alias("y_")), names, "y_").first(), len(terms) + 2)
+
+    def error(use: list[int]) -> float:
+        b = np.linalg.lstsq(m[np.ix_(use, use)], m[use, -1], rcond=1e-10)[0]
+        return float(m[-1, -1] - b @ m[use, -1]) / m[0, 0]
+
+    every = list(range(len(terms) + 1))
+    base, out = error(every), {}
+    for c in x:
+        own = [i + 1 for i, t in enumerate(terms) if any(q[0] == c for q in t)]
+        out[c] = (len(own), error([i for i in every if i not in own]) - base)
+    return out
+
+
+def spline_degree_cv(df: DataFrame, x: list[str], y: str, fold: str, degrees: tuple[int, ...] = (1, 2), **settings) -> list[tuple[int, float]]:
+    """(degree, mean squared error over folds) of adaptive splines by the most factors a term may have; all models are scored in one pass."""
+    data = df.dropna(subset=[*x, y, fold])
+    folds, e = sorted(r[0] for r in data.select(fold).distinct().collect()), []
+    for d in degrees:
+        fit = F.lit(None)
+        for f in folds:
+            fit = F.when(F.col(fold) == f, adaptive_splines(data.filter(F.col(fold) != f), x, y, degree=d, **settings)[1]).otherwise(fit)
+        e.append(F.avg(F.pow(F.col(y) - fit, F.lit(2))).alias(f"e{d}"))
+    rows = data.groupBy(fold).agg(*e).collect()
+    return [(d, float(np.mean([r[f"e{d}"] for r in rows]))) for d in degrees]
+
+
 def mixture_discriminants(df: DataFrame, x: list[str], label: str, start: dict[object, list[list[float]]], steps: int = 20, ridge: float = 1e-8) -> tuple[dict[object, np.ndarray], dict[object, Column]]:
     """Each class is a mixture of Gaussians of one shared covariance: steps of expectation-maximisation from the centres ``start``, one job
     each. Centres of each class and its score, log prior plus log density up to what all share."""

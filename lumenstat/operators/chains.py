@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +38,39 @@ def rhat(draws: DataFrame) -> DataFrame:
     return per.agg(F.sqrt(((n - 1) / n * within + F.var_samp("m")) / within).alias("rhat"))
 
 
+BLOCK = 1 << 14  # steps of a block, at least
+
+
 def autocorrelations(draws: DataFrame, lags: int, first: int = 1) -> DataFrame:
-    """chain, lag, rho of lag 0 and of ``first`` to ``lags``: with the chain's mean and full sum of squares. Each value is sent to its later partners, not sorted."""
+    """chain, lag, rho of lag 0 and of ``first`` to ``lags``: with the chain's mean and full sum of squares. Steps are cut into blocks; the
+    last ``lags`` steps of a block are sent to the next one too, and a block adds up its own products of every lag. Whole steps, which may have gaps."""
+    kind = draws.schema["chain"].dataType.simpleString()
+    size = max(BLOCK, lags)
     means = draws.groupBy("chain").agg(F.avg("value").alias("m"))
-    c = draws.join(F.broadcast(means), "chain").select("chain", "step", (F.col("value") - F.col("m")).alias("c"))  # a row a chain
-    wanted = F.concat(F.array(F.lit(0)), F.sequence(F.lit(first), F.lit(lags)))
-    later = c.select("chain", F.explode(wanted).alias("lag"), "c", "step").select("chain", "lag", (F.col("step") + F.col("lag")).alias("step"), F.col("c").alias("before"))
-    sums = c.join(later, ["chain", "step"]).groupBy("chain", "lag").agg(F.sum(F.col("c") * F.col("before")).alias("s"))
+    c = draws.join(F.broadcast(means), "chain").select("chain", F.col("step").cast("long").alias("step"), (F.col("value") - F.col("m")).alias("c")).dropna()  # a row a chain
+    own = F.floor(F.col("step") / size).cast("long")
+    blocks = F.when(F.pmod("step", F.lit(size)) >= size - lags, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = c.select("chain", "step", "c", F.explode(blocks).alias("block"))
+    wanted = [0, *range(first, lags + 1)]
+
+    def products(key: tuple, t: pa.Table) -> pa.Table:
+        start = key[1].as_py() * size - lags
+        dense = np.zeros(size + lags)
+        np.add.at(dense, t["step"].to_numpy() - start, t["c"].to_numpy())
+        here = dense[lags:]
+        sums = [float(here @ dense[lags - k : lags - k + size]) for k in wanted]
+        return pa.table({"chain": pa.array([key[0].as_py()] * len(wanted), t.schema.field("chain").type), "lag": pa.array(wanted, pa.int32()), "s": pa.array(sums, pa.float64())})
+
+    sums = dealt.groupBy("chain", "block").applyInArrow(products, f"chain {kind}, lag int, s double").groupBy("chain", "lag").agg(F.sum("s").alias("s"))
     total = sums.filter("lag = 0").select("chain", F.col("s").alias("all"))
-    return sums.join(total, "chain").select("chain", "lag", (F.col("s") / F.col("all")).alias("rho"))
+    lengths = draws.groupBy("chain").agg((F.max("step") - F.min("step")).alias("span"))
+    return sums.join(total, "chain").join(lengths, "chain").filter(F.col("lag") <= F.col("span")).select("chain", "lag", (F.col("s") / F.col("all")).alias("rho"))
 
 
 def effective_size(draws: DataFrame, lags: int = 1000) -> DataFrame:
     """chain, n, ess: n / (1 + 2 sum of rho), the sum ending before the first negative rho. Lags are taken in growing runs, until each chain has had a negative one."""
     sizes = {r["chain"]: r["count"] for r in draws.groupBy("chain").count().collect()}
-    sums, going, first, last = dict.fromkeys(sizes, 0.0), set(sizes), 1, 8
+    sums, going, first, last = dict.fromkeys(sizes, 0.0), set(sizes), 1, 64
     while going and first <= lags:
         last = min(last, lags)
         rows = autocorrelations(draws.filter(F.col("chain").isin(list(going))), last, first).filter("lag > 0").orderBy("lag").collect()
@@ -62,6 +81,6 @@ def effective_size(draws: DataFrame, lags: int = 1000) -> DataFrame:
             elif r["chain"] in going:
                 sums[r["chain"]] += r["rho"] or 0.0
         going &= seen  # the others are shorter than the lag
-        first, last = last + 1, 4 * last
+        first, last = last + 1, 16 * last
     kind = draws.schema["chain"].dataType.simpleString()
     return draws.sparkSession.createDataFrame([(c, n, n / (1 + 2 * sums[c])) for c, n in sizes.items()], f"chain {kind}, n long, ess double")

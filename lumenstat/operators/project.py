@@ -111,3 +111,40 @@ def classical_scaling(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     value, vector = np.linalg.eigh(-0.5 * left @ np.asarray(distance, float) ** 2 @ left)
     at = np.argsort(value)[::-1][:k]
     return vector[:, at] * np.sqrt(np.maximum(value[at], 0)), value[at]
+
+
+class KernelComponents:
+    """Radial kernel components fitted on one table and applied to any other with the same columns: new rows meet the landmarks, and are
+    centred by the means of the rows of the fit. ``values``: the first k eigenvalues, of the mean product."""
+
+    def __init__(self, df: DataFrame, x: list[str], landmarks: list[list[float]], gamma: float, k: int) -> None:
+        self.x, self.landmarks, self.gamma = x, landmarks, gamma
+        self.values, self.columns = kernel_map(df, x, landmarks, gamma, k)
+
+    def scores(self, rows: DataFrame, prefix: str = "k") -> DataFrame:
+        """``rows`` with a column for each component; null where an x is null."""
+        return rows.withColumns({f"{prefix}{i + 1}": c for i, c in enumerate(self.columns)})
+
+
+class Centred:
+    """Principal components of centred columns that can be turned back: scores, reconstruction from the first of them, and what it loses."""
+
+    def __init__(self, df: DataFrame, x: list[str], k: int) -> None:
+        self.x = x
+        _, self.mean, cov = _moments(df, x)
+        value, vector = np.linalg.eigh(cov)
+        self.axes = vector[:, ::-1][:, :k]
+        self.axes = self.axes * np.sign(self.axes[np.abs(self.axes).argmax(0), np.arange(self.axes.shape[1])])
+        self.variance, self.total = value[::-1][:k], float(value.sum())
+
+    def scores(self) -> list[Column]:
+        return [_linear(self.x, a, self.mean) for a in self.axes.T]
+
+    def rebuilt(self, scores: list[Column] | None = None) -> list[Column]:
+        """The columns from the scores: those of the row itself, or any others given."""
+        s = scores or self.scores()
+        return [sum((float(a) * c for a, c in zip(row, s, strict=True)), F.lit(float(m))) for row, m in zip(self.axes, self.mean, strict=True)]
+
+    def loss(self) -> Column:
+        """Squared distance of a row from its reconstruction."""
+        return sum((F.pow(F.col(c) - r, F.lit(2)) for c, r in zip(self.x, self.rebuilt(), strict=True)), F.lit(0.0))

@@ -174,3 +174,38 @@ def gibbs_normal(df: DataFrame, x: str, draws: int = 2000, burn: int = 200, mean
         if k >= burn:
             out[k - burn] = mu, s2
     return out
+
+
+def haar_energies(df: DataFrame, place: str, value: str, bits: int = 12) -> DataFrame:
+    """level, energy, n: squared Haar coefficients of every level, summed, and how many blocks of the level hold rows. ``place``: ranks from 0.
+
+    Blocks of 2**bits rows give all their levels in one call, and a sum each, which is the next round's row: a round for every
+    ``bits`` levels, each with as many times fewer rows. The series counts as padded with zeros to the next power of two."""
+    import pyarrow as pa
+
+    rows, out, at = df.select(F.col(place).cast("long").alias("k"), F.col(value).cast("double").alias("v")), None, 0
+    n = rows.count()
+    levels = max(1, (n - 1).bit_length())
+    while at < levels:
+        take, base = min(bits, levels - at), at
+
+        def energies(key: tuple, t: pa.Table) -> pa.Table:
+            dense, has = np.zeros(1 << take), np.zeros(1 << take, bool)
+            where = t["k"].to_numpy() & ((1 << take) - 1)
+            np.add.at(dense, where, t["v"].to_numpy())
+            has[where] = True
+            level, energy, count = [], [], []
+            for k in range(1, take + 1):
+                w = dense[0::2] - dense[1::2]
+                dense, has = dense[0::2] + dense[1::2], has[0::2] | has[1::2]
+                level.append(base + k)
+                energy.append(float(w @ w) / 2.0 ** (base + k))
+                count.append(int(has.sum()))
+            size = len(level)
+            return pa.table({"k": pa.array([key[0].as_py()] * size, pa.int64()), "level": pa.array(level, pa.int32()), "energy": energy, "n": pa.array(count, pa.int64()), "v": pa.array([float(dense[0])] * size)})
+
+        found = rows.groupBy(F.expr(f"shiftright(k, {take})").alias("b")).applyInArrow(energies, "k long, level int, energy double, n long, v double")
+        own = found.groupBy("level").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
+        out = own if out is None else out.unionByName(own)
+        rows, at = found.filter(F.col("level") == base + take).select("k", "v"), at + take
+    return out

@@ -165,3 +165,39 @@ def metric_scaling(d: np.ndarray, dims: int = 2, steps: int = 500, rate: float =
         if rate < 1e-12:
             break
     return x, path
+
+
+def cross_pairs(new: DataFrame, points: DataFrame, key: str, vec: str, gamma: float = 1.0) -> DataFrame:
+    """i (of ``new``, of any size), j (of at most MOST ``points``, counted), dot, sq_dist, poly, rbf: each new row meets every point."""
+    n = points.count()
+    if n > MOST:
+        raise ValueError(f"{n} points: rows meet at most {MOST}")
+    a, b = new.select(F.col(key).alias("i"), F.col(vec).alias("_a")), points.select(F.col(key).alias("j"), F.col(vec).alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    return a.crossJoin(F.broadcast(b)).select("i", "j", inner_product(x, y).alias("dot"), squared_distance(x, y).alias("sq_dist"), polynomial_kernel(x, y).alias("poly"), rbf_kernel(x, y, gamma).alias("rbf"))
+
+
+def centred_new(cross: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """i, j and ``value`` of new rows i with points j, centred as the points' own ``table`` is: less the new row's mean and the point's
+    mean in the table, plus the mean of the table."""
+    row = cross.groupBy("i").agg(F.avg(value).alias("_r"))
+    own = table.groupBy("j").agg(F.avg(value).alias("_c"))
+    every = table.agg(F.avg(value).alias("_m"))
+    both = cross.join(row, "i").join(F.broadcast(own), "j").crossJoin(F.broadcast(every))  # MOST points, one row
+    return both.select("i", "j", (F.col(value) - F.col("_r") - F.col("_c") + F.col("_m")).alias(value))
+
+
+def average_similarity(cross: DataFrame, labels: DataFrame, value: str) -> DataFrame:
+    """i, predicted, similarity: the class whose points are most similar to the new row on average, the least label at ties. ``labels``: key, label of the points."""
+    mean = cross.join(F.broadcast(labels.select(F.col("key").alias("j"), "label")), "j").groupBy("i", "label").agg(F.avg(value).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.round(-F.col("similarity"), 9), "label"))
+    return mean.withColumn("_r", rank).filter("_r = 1").select("i", F.col("label").alias("predicted"), "similarity")
+
+
+def nearest_by_distance(cross: DataFrame, labels: DataFrame, value: str, k: int) -> DataFrame:
+    """i, predicted, share: the commonest label among the ``k`` nearest points, from a table of distances alone; the least label at ties."""
+    near = cross.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.round(value, 9), "j"))).filter(F.col("_r") <= k)
+    votes = near.join(F.broadcast(labels.select(F.col("key").alias("j"), "label")), "j").groupBy("i", "label").agg(F.count("*").alias("v"))
+    share = F.col("v") / F.sum("v").over(Window.partitionBy("i"))
+    ranked = votes.withColumn("share", share).withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("v"), "label")))
+    return ranked.filter("_r = 1").select("i", F.col("label").alias("predicted"), "share")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenstat.functions import bspline1, epanechnikov, fold, gaussian, hinge, huber, pinball, tricube, truncated_power
-from lumenstat.operators import evaluate, order
+from lumenstat.operators import evaluate, order, signals
 from lumenstat.operators.linear import gram
 from lumenstat.plans.common import r6, rounded, table
 
@@ -103,31 +103,6 @@ def local_linear(spark, d):
     return rounded(s.select("x0", F.expr("(c*y - b*z) / (a*c - b*b)").alias("fit")), 4)
 
 
-def _series(spark, d, n=256):
-    e = table(spark, d, "events").filter(F.col("event_id") < n).select("event_id", "value")
-    return e.withColumn("i", F.row_number().over(Window.orderBy("event_id")) - 1)
-
-
-def haar_level1(spark, d):
-    s = _series(spark, d).groupBy(F.floor(F.col("i") / 2).cast("int").alias("k")).agg(F.max_by("value", "i").alias("b"), F.min_by("value", "i").alias("a"))
-    return s.select("k", r6((F.col("a") + F.col("b")) / F.sqrt(F.lit(2.0))).alias("smooth"), r6((F.col("a") - F.col("b")) / F.sqrt(F.lit(2.0))).alias("detail"))
-
-
-def haar_energy(spark, d):
-    """Energy of every level, from block sums: the coefficient of a block is the difference of its halves."""
-    rows = _series(spark, d)
-    lv = rows.select("i", "value", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("level"))
-    half = F.pow(F.lit(2.0), F.col("level") - 1)
-    sign = F.when(F.pmod(F.floor(F.col("i") / half), F.lit(2)) == 0, 1).otherwise(-1)
-    co = lv.groupBy("level", F.floor(F.col("i") / (half * 2)).alias("k")).agg((F.sum(sign * F.col("value")) / F.sqrt(F.first(half) * 2)).alias("w"))
-    return co.groupBy("level").agg(F.round(F.sum(F.col("w") * F.col("w")), 3).alias("energy"), F.count("*").alias("n"))
-
-
-def moving_average(spark, d):
-    w = Window.orderBy("i").rowsBetween(-2, 2)
-    return _series(spark, d).select("event_id", r6(F.avg("value").over(w)).alias("ma5"), r6(F.col("value") - F.lag("value").over(Window.orderBy("i"))).alias("diff"))
-
-
 def _acf(s):
     m = s.agg(F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.count("*").alias("n"))
     c = s.crossJoin(F.broadcast(m)).select("i", (F.col("value") - F.col("m")).alias("c"), "v", "n")
@@ -135,10 +110,6 @@ def _acf(s):
     return c.join(lags, "i").groupBy("lag").agg(r6(F.sum(F.col("c") * F.col("before")) / (F.first("v") * F.first("n"))).alias("acf"))
 
 
-def autocorrelation(spark, d):
-    return _acf(_series(spark, d))
-
-
 def _whole(spark, d):
     """All events in the order of their ids: event_id, value, i."""
     return order.placed(table(spark, d, "events").select("event_id", "value"), "event_id", "i")
@@ -152,13 +123,8 @@ def haar_level1_all(spark, d):
 
 
 def haar_energy_all(spark, d):
-    """Energy of every level of all events. The series counts as padded with zeros to the next power of two, which gives the number of levels: no row is left out, and the energies and the squared sum over that power add up to the sum of squares."""
-    rows = _whole(spark, d)
-    levels = max(1, (rows.count() - 1).bit_length())
-    lv = rows.select("i", "value", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"))
-    sign = F.expr("1 - 2 * (shiftright(i, level - 1) % 2)")
-    co = lv.groupBy("level", F.expr("shiftright(i, level)").alias("k")).agg(F.sum(sign * F.col("value")).alias("w"))
-    return co.groupBy("level").agg(F.round(F.sum(F.col("w") * F.col("w") / F.pow(F.lit(2.0), F.col("level"))), 3).alias("energy"), F.count("*").alias("n"))
+    """Energy of every level of all events: no row is left out, and the energies and the squared sum over the padded length add up to the sum of squares."""
+    return signals.haar_energies(_whole(spark, d), "i", "value").select("level", F.round("energy", 3).alias("energy"), "n")
 
 
 def moving_average_all(spark, d):
@@ -176,13 +142,12 @@ def autocorrelation_all(spark, d):
 
 _L = "WITH l AS (SELECT labels.doc_id, quality AS y, round(1/(1+exp(-(n_chars-1000)/500.0)),3) AS p FROM labels JOIN documents USING (doc_id))"
 _C = _L + ", c AS (SELECT (count(*) FILTER (y=1 AND p>=0.5)) tp, (count(*) FILTER (y=0 AND p>=0.5)) fp, (count(*) FILTER (y=1 AND p<0.5)) fn, (count(*) FILTER (y=0 AND p<0.5)) tn FROM l)"
-_S = "WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id)-1 AS i FROM events WHERE event_id < 256)"
 _W = "WITH s AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id)-1 AS i FROM events)"
 _G = "WITH g AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y, x0::DOUBLE AS x0 FROM part, range(5,50,5) t(x0)), k AS (SELECT x0, x-x0 AS u, y, CASE WHEN abs((x-x0)/8.0)<1 THEN 0.75*(1-power((x-x0)/8.0,2)) ELSE 0 END AS k FROM g)"
 _F = """WITH p AS (SELECT p_size::DOUBLE x, p_retailprice y, ((p_partkey*7919+104729)%5)::INT fold FROM part),
  f AS (SELECT a.fold, regr_slope(b.y,b.x) b1, avg(b.x) mx, avg(b.y) my FROM (SELECT DISTINCT fold FROM p) a JOIN p b ON b.fold<>a.fold GROUP BY 1),
  e AS (SELECT p.fold, round(avg(power(y-my-b1*(x-mx),2)),3) mse, count(*) n FROM p JOIN f ON p.fold=f.fold GROUP BY 1)"""
-QUERIES = {f.__name__: f for f in (confusion_rates, threshold_table, roc_points, auc_rank, log_loss_brier, losses, kfold_linear_cv, cv_summary, poly_basis, spline_bases, kernels, local_constant, local_linear, haar_level1, haar_energy, moving_average, autocorrelation, haar_level1_all, haar_energy_all, moving_average_all, autocorrelation_all)}
+QUERIES = {f.__name__: f for f in (confusion_rates, threshold_table, roc_points, auc_rank, log_loss_brier, losses, kfold_linear_cv, cv_summary, poly_basis, spline_bases, kernels, local_constant, local_linear, haar_level1_all, haar_energy_all, moving_average_all, autocorrelation_all)}
 ORACLES = {
     "confusion_rates": _C + " SELECT tp, fp, fn, tn, round((tp+tn)/(tp+fp+fn+tn),6) AS accuracy, round(tp/(tp+fn),6) AS sensitivity, round(tn/(tn+fp),6) AS specificity, round(tp/(tp+fp),6) AS precision, round(2*tp/(2*tp+fp+fn),6) AS f1 FROM c",
     "threshold_table": _L + f" SELECT cut, count(*) FILTER (y=1 AND p>=cut) AS tp, count(*) FILTER (y=0 AND p>=cut) AS fp, count(*) FILTER (y=1 AND p<cut) AS fn, count(*) FILTER (y=0 AND p<cut) AS tn FROM l, (SELECT unnest({CUTS})::DOUBLE AS cut) GROUP BY cut",
@@ -198,12 +163,11 @@ ORACLES = {
     "kernels": "WITH u AS (SELECT p_partkey, (p_size-25)/20.0 u FROM part) SELECT p_partkey, round(CASE WHEN abs(u)<1 THEN 0.75*(1-u*u) ELSE 0 END,6)::DOUBLE AS epanechnikov, round(CASE WHEN abs(u)<1 THEN power(1-power(abs(u),3),3) ELSE 0 END,6)::DOUBLE AS tricube, round(exp(-0.5*u*u),6)::DOUBLE AS gaussian FROM u",
     "local_constant": _G + " SELECT x0, round(sum(k*y)/sum(k),4) AS fit FROM k GROUP BY x0",
     "local_linear": _G + " SELECT x0, round((sum(k*u*u)*sum(k*y)-sum(k*u)*sum(k*u*y))/(sum(k)*sum(k*u*u)-power(sum(k*u),2)),4) AS fit FROM k GROUP BY x0",
-    "haar_level1": _S + " SELECT (a.i//2)::INT AS k, round((a.value+b.value)/sqrt(2.0),6) AS smooth, round((a.value-b.value)/sqrt(2.0),6) AS detail FROM s a JOIN s b ON b.i=a.i+1 AND a.i%2=0",
-    "haar_energy": _S + ", w AS (SELECT level, i//(1<<level) AS k, sum(CASE WHEN (i//(1<<(level-1)))%2=0 THEN value ELSE -value END)/sqrt((1<<level)::DOUBLE) AS w FROM s, range(1,9) t(level) GROUP BY 1,2) SELECT level::INT AS level, round(sum(w*w),3) AS energy, count(*) AS n FROM w GROUP BY 1",
-    "moving_average": _S + " SELECT event_id, round(avg(value) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),6) AS ma5, round(value-lag(value) OVER (ORDER BY i),6) AS diff FROM s",
-    "autocorrelation": _S + ", c AS (SELECT i, value-(SELECT avg(value) FROM s) AS c FROM s) SELECT l::INT AS lag, round(sum(a.c*b.c)/(SELECT sum(c*c) FROM c),6) AS acf FROM c a, c b, range(1,11) t(l) WHERE b.i=a.i-l GROUP BY l",
     "haar_level1_all": _W + " SELECT a.i//2 AS k, round((a.value+coalesce(b.value,0))/sqrt(2.0),6) AS smooth, round((a.value-coalesce(b.value,0))/sqrt(2.0),6) AS detail FROM s a LEFT JOIN s b ON b.i=a.i+1 WHERE a.i%2=0",
     "haar_energy_all": _W + ", w AS (SELECT level, i//(1::BIGINT<<level) AS k, sum(CASE WHEN (i//(1::BIGINT<<(level-1)))%2=0 THEN value ELSE -value END)/sqrt((1::BIGINT<<level)::DOUBLE) AS w FROM s, range(1,40) t(level) WHERE (1::BIGINT<<(level-1)) < (SELECT count(*) FROM s) GROUP BY 1,2) SELECT level::INT AS level, round(sum(w*w),3) AS energy, count(*) AS n FROM w GROUP BY 1",
     "moving_average_all": _W + " SELECT event_id, round(avg(value) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING),6) AS ma5, round(value-lag(value) OVER (ORDER BY i),6) AS diff FROM s",
     "autocorrelation_all": _W + ", c AS (SELECT i, value-(SELECT avg(value) FROM s) AS c FROM s) SELECT l::INT AS lag, round(sum(a.c*b.c)/(SELECT sum(c*c) FROM c),6) AS acf FROM (SELECT i-l AS j, c, l FROM c, range(1,11) t(l)) a JOIN c b ON b.i=a.j GROUP BY l",
 }
+#: The first names of these queries, which read all events too.
+for _name in ("haar_level1", "haar_energy", "moving_average", "autocorrelation"):
+    QUERIES[_name], ORACLES[_name] = QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"]

@@ -45,12 +45,6 @@ def rules(spark, d):
     return rounded(baskets.pair_rules(_baskets(spark, d), 0.1))
 
 
-def pagerank_parts(spark, d):
-    e = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 40").select((F.col("l_partkey") % 64).alias("src"), (F.col("l_suppkey") % 64).alias("dst")).filter("src <> 63").distinct()
-    nodes = spark.range(64).select("id")
-    return rounded(graph.pagerank(nodes, e, 2), 8)
-
-
 def graph_all(spark, d):
     """nodes (id), edges (src, dst): every part and supplier is a node (2 part key, 2 supplier key + 1), every lineitem links its part to its supplier."""
     items = table(spark, d, "lineitem").select((2 * F.col("l_partkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).dropna().distinct()
@@ -58,6 +52,11 @@ def graph_all(spark, d):
     return nodes.union(items.select("src")).union(items.select("dst")).distinct(), items
 
 
+def pagerank_parts(spark, d):
+    """Two steps from even ranks over the whole graph."""
+    return rounded(graph.pagerank(*graph_all(spark, d), 2), 8)
+
+
 def pagerank_all(spark, d):
     """Of the whole graph, to an L1 change below 1e-12, 10,000 steps at most."""
     return rounded(graph.pagerank(*graph_all(spark, d), 10_000, tol=1e-12), 12)
@@ -65,7 +64,7 @@ def pagerank_all(spark, d):
 
 _B = "WITH b AS (SELECT DISTINCT l_orderkey AS txn, p_type AS item FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT count(DISTINCT txn) AS t FROM b), s AS (SELECT item, count(*) AS n FROM b GROUP BY 1)"
 _V = "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
-_STEP = "{to} AS (SELECT id, raw / sum(raw) OVER () AS r FROM (SELECT n.id, 0.15/64 + 0.85*(coalesce(g.got,0) + (SELECT coalesce(sum(r),0) FROM {fr} WHERE id NOT IN (SELECT src FROM dg))/64) AS raw FROM n LEFT JOIN (SELECT dst, sum(r/deg) AS got FROM e JOIN dg USING (src) JOIN {fr} ON {fr}.id = e.src GROUP BY dst) g ON g.dst = n.id))"
+_STEP = "{to} AS (SELECT id, raw / sum(raw) OVER () AS r FROM (SELECT n.id, 0.15/(SELECT count(*) FROM n) + 0.85*(coalesce(g.got,0) + (SELECT coalesce(sum(r),0) FROM {fr} WHERE id NOT IN (SELECT src FROM dg))/(SELECT count(*) FROM n)) AS raw FROM n LEFT JOIN (SELECT dst, sum(r/deg) AS got FROM e JOIN dg USING (src) JOIN {fr} ON {fr}.id = e.src GROUP BY dst) g ON g.dst = n.id))"
 QUERIES = {f.__name__: f for f in (class_centroids, knn_vote, kmeans_step, itemsets, rules, pagerank_parts, pagerank_all)}
 ORACLES = {
     "class_centroids": _V + ", u AS (SELECT label, unnest(v) AS x, generate_subscripts(v,1)-1 AS i FROM v) SELECT label, i::BIGINT AS i, round(avg(x),6) AS mean, round(var_samp(x),6) AS var, count(*) AS n FROM u GROUP BY ALL",
@@ -79,6 +78,6 @@ ORACLES = {
       m AS (SELECT lhs, rhs, p.n::DOUBLE AS n, l.n::DOUBLE AS nl, r.n::DOUBLE AS nr, t::DOUBLE AS t FROM p JOIN s l ON l.item = lhs JOIN s r ON r.item = rhs, t WHERE p.n >= 0.1*t)
       SELECT lhs, rhs, round(n/t,6) AS support, round(n/nl,6) AS confidence, round(n/nl/(nr/t),6) AS lift, round(n/t-nl/t*nr/t,6) AS leverage, round(CASE WHEN n = nl THEN 'inf'::DOUBLE ELSE (1-nr/t)/(1-n/nl) END,6) AS conviction,
       round(n/(nl+nr-n),6) AS jaccard, round(n/sqrt(nl*nr),6) AS cosine, round((n/nl+n/nr)/2,6) AS kulczynski FROM m""",
-    "pagerank_parts": "WITH e AS (SELECT DISTINCT l_partkey % 64 AS src, l_suppkey % 64 AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 AND l_partkey % 64 <> 63), dg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), n AS (SELECT range AS id FROM range(64)), r0 AS (SELECT id, 1.0::DOUBLE/64 AS r FROM n), "
+    "pagerank_parts": "WITH e AS (SELECT DISTINCT 2*l_partkey AS src, 2*l_suppkey+1 AS dst FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), dg AS (SELECT src, count(*) AS deg FROM e GROUP BY 1), n AS (SELECT 2*p_partkey AS id FROM part UNION SELECT 2*s_suppkey+1 FROM supplier UNION SELECT src FROM e UNION SELECT dst FROM e), r0 AS (SELECT id, 1.0::DOUBLE/(SELECT count(*) FROM n) AS r FROM n), "
     + _STEP.format(fr="r0", to="r1") + ", " + _STEP.format(fr="r1", to="r2") + " SELECT id, round(r,8) AS rank FROM r2",
 }

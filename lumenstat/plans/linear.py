@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenstat.functions import soft_threshold
 from lumenstat.operators.linear import LeastSquares, coordinate_descent, gram, matrix
+from lumenstat.operators.quantiles import exact_quantiles
 from lumenstat.plans.common import r6, rounded, table
 
 Y, X = "l_extendedprice", ["l_quantity", "l_discount"]
@@ -48,21 +49,6 @@ def loocv_ols(spark, d):
     return parts.agg(F.round(F.avg(e * e), 3).alias("loocv_mse"), F.count("*").alias("n"))
 
 
-def best_subset(spark, d):
-    df = _items(spark, d)
-    full = matrix(gram(df, [*X, "l_tax"], Y).first(), 5)
-    rows = []
-    names = [*X, "l_tax"]
-    for mask in range(1, 8):
-        pick = [i + 1 for i in range(3) if mask >> i & 1]
-        if len(pick) > 2:
-            continue
-        ix = [0, *pick]
-        b = np.linalg.solve(full[np.ix_(ix, ix)], full[ix, 4])
-        rows.append((",".join(names[i - 1] for i in pick), len(pick), float((full[4, 4] - b @ full[ix, 4]) / full[0, 0])))
-    return rounded(spark.createDataFrame(rows, "model string, size int, mse double"), 2)
-
-
 def best_subset_all(spark, d):
     """Every subset of the predictors, from the mean alone to all of them; best: the least error of its size."""
     names = [*X, "l_tax"]
@@ -75,6 +61,10 @@ def best_subset_all(spark, d):
     return rounded(spark.createDataFrame([(*r, r[2] == least[r[1]]) for r in rows], "model string, size int, mse double, best boolean"), 2)
 
 
+def best_subset(spark, d):
+    return best_subset_all(spark, d).drop("best")
+
+
 def ridge_path(spark, d):
     df = _items(spark, d)
     m, rows = matrix(gram(df, X, Y).first(), 4), []
@@ -118,10 +108,11 @@ def elastic_net(spark, d):
 
 
 def group_summary(spark, d):
-    q = F.col("l_extendedprice")
-    return rounded(_items(spark, d).groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev_samp(q).alias("sd"), F.percentile(q, 0.25).alias("q1"), F.percentile(q, 0.5).alias("median"), F.percentile(q, 0.75).alias("q3"),
-        F.min(q).alias("low"), F.max(q).alias("high")), 4)
+    q, items = F.col("l_extendedprice"), _items(spark, d)
+    by = items.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev_samp(q).alias("sd"), F.min(q).alias("low"), F.max(q).alias("high"))
+    cuts = exact_quantiles(items.select(F.col("l_returnflag").alias("_flag"), q), "l_extendedprice", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["_flag"])
+    both = by.join(cuts, F.col("l_returnflag").eqNullSafe(F.col("_flag")))
+    return rounded(both.select("l_returnflag", "n", "mean", "sd", "q1", "median", "q3", "low", "high"), 4)
 
 
 def correlations(spark, d):
@@ -149,11 +140,14 @@ _P = """WITH m AS (SELECT count(*)::DOUBLE n, avg(p_size) mx, avg(p_retailprice)
 
 
 def _subset_sql() -> str:
-    one = "SELECT '{0}' AS model, 1 AS size, round(var_pop(l_extendedprice)*(1-power(corr({0},l_extendedprice),2)),2) AS mse FROM lineitem"
-    two = """SELECT '{0},{1}' AS model, 2 AS size, round(v*(1-(ry1*ry1+ry2*ry2-2*ry1*ry2*r12)/(1-r12*r12)),2) AS mse FROM
-      (SELECT var_pop(l_extendedprice) v, corr({0},l_extendedprice) ry1, corr({1},l_extendedprice) ry2, corr({0},{1}) r12 FROM lineitem)"""
+    """Mean squared error of every subset from the correlations: r' C^-1 r is the explained share."""
     names = [*X, "l_tax"]
-    return " UNION ALL ".join([one.format(n) for n in names] + [two.format(a, b) for i, a in enumerate(names) for b in names[i + 1 :]])
+    c = ", ".join(f"corr({a},{b}) AS r{i}{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i < j) + ", " + ", ".join(f"corr({a},{Y}) AS y{i}" for i, a in enumerate(names))
+    rows = ["SELECT '' AS model, 0 AS size, v AS mse FROM c"] + [f"SELECT '{a}', 1, v*(1-y{i}*y{i}) FROM c" for i, a in enumerate(names)]
+    rows += [f"SELECT '{names[i]},{names[j]}', 2, v*(1-(y{i}*y{i}+y{j}*y{j}-2*y{i}*y{j}*r{i}{j})/(1-r{i}{j}*r{i}{j})) FROM c" for i in range(3) for j in range(i + 1, 3)]
+    top = "y0*y0*(1-r12*r12)+y1*y1*(1-r02*r02)+y2*y2*(1-r01*r01)+2*(y0*y1*(r02*r12-r01)+y0*y2*(r01*r12-r02)+y1*y2*(r01*r02-r12))"
+    rows.append(f"SELECT '{','.join(names)}', 3, v*(1-({top})/(1+2*r01*r02*r12-r01*r01-r02*r02-r12*r12)) FROM c")
+    return f"WITH c AS (SELECT var_pop({Y}) AS v, {c} FROM lineitem), s AS (" + " UNION ALL ".join(rows) + ")"
 
 
 _LEVELS = ", ".join(f"({x})" for x in LAMBDAS)
@@ -166,7 +160,8 @@ ORACLES = {
     "ols_fit_stats": _M + " SELECT n::BIGINT AS n, round(rss/n,4) AS rss_n, round(syy/n,4) AS tss_n, round(1-rss/syy,4) AS r2, round(1-(rss/(n-3))/(syy/(n-1)),4) AS adj_r2, round((syy-rss)/2/s2,4) AS f_value FROM s",
     "ols_leverage": _P + " SELECT p_partkey, round(h,6) AS leverage, round(e,4) AS residual, round(e/sqrt(s2*(1-h)),4) AS studentized FROM e, s",
     "loocv_ols": _P + " SELECT round(avg(power(e/(1-h),2)),3) AS loocv_mse, count(*) AS n FROM e",
-    "best_subset": _subset_sql(),
+    "best_subset": _subset_sql() + " SELECT model, size, round(mse, 2) AS mse FROM s",
+    "best_subset_all": _subset_sql() + " SELECT model, size, round(mse, 2) AS mse, mse = min(mse) OVER (PARTITION BY size) AS best FROM s",
     "ridge_path": _M + f""", l AS (SELECT x::DOUBLE AS lam FROM (VALUES {_LEVELS}) v(x)), q AS (SELECT *, (saa+lam)*(sbb+lam)-sab*sab AS dd FROM s, l)
       SELECT lam AS lambda, round(((sbb+lam)*say-sab*sby)/dd,4) AS b_quantity, round(((saa+lam)*sby-sab*say)/dd,4) AS b_discount, round(((sbb+lam)*saa-2*sab*sab+(saa+lam)*sbb)/dd,4) AS df FROM q""",
     "standardize": "SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER (), 6) AS z FROM part",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("linear", "assess", "learn", "classify", "shape", "flow", "choose", "infer", "points", "forms")
+MODULES = ("linear", "assess", "learn", "classify", "shape", "flow", "choose", "infer", "points", "forms", "deep")
 
 
 def _modules():
