@@ -105,18 +105,23 @@ class ExpertTree:
         v = self._number("variance", e)
         return -0.5 * F.pow(at - self.expert(e), F.lit(2)) / v - 0.5 * F.log(2 * math.pi * v)
 
-    def responsibilities(self, flat: bool = False) -> tuple[list[Column], Column]:
-        """Share of each expert in a row's y, and the row's log likelihood; ``flat``: as if no expert knew anything."""
-        joint = [s if flat else s + self.log_density(e, F.col(self.y)) for e, s in enumerate(self.log_shares())]
+    def responsibilities(self) -> tuple[list[Column], Column]:
+        """Share of each expert in a row's y, and the row's log likelihood."""
+        joint = [s + self.log_density(e, F.col(self.y)) for e, s in enumerate(self.log_shares())]
         total = _log_total(joint)
         return [F.exp(j - total) for j in joint], total
 
     # one aggregation a step
 
     def _sums(self, data: DataFrame, flat: bool) -> DataFrame:
-        shares, total = self.responsibilities(flat)
-        held = data.withColumns({f"_r{e}": r for e, r in enumerate(shares)}).withColumn("_ll", total)
-        held = held.withColumns({f"_z{i}": z for i, z in enumerate(self._inputs())})
+        """All sums of a step. ``flat``: as if no expert knew anything. What several sums need is a column, computed once."""
+        gates, leaves = range(1, self.gates + 1), range(self.leaves)
+        held = data.withColumns({f"_z{i}": z for i, z in enumerate(self._inputs())})
+        held = held.withColumns({f"_g{g}": sum((self._number("gate", g, i + 1) * F.col(f"_z{i}") for i in range(len(self.x))), self._number("gate", g, 0)) for g in gates})
+        held = held.withColumns({f"_s{side}{g}": _log_sigmoid(F.col(f"_g{g}") if side else -F.col(f"_g{g}")) for g in gates for side in (0, 1)})
+        held = held.withColumns({f"_j{e}": sum((F.col(f"_s{side}{g}") for g, side in self._path(e)), F.lit(0.0) if flat else self.log_density(e, F.col(self.y))) for e in leaves})
+        held = held.withColumn("_ll", _log_total([F.col(f"_j{e}") for e in leaves]))
+        held = held.withColumns({f"_r{e}": F.exp(F.col(f"_j{e}") - F.col("_ll")) for e in leaves} | {f"_q{g}": F.exp(F.col(f"_s1{g}")) for g in gates})
         cols = [F.lit(1.0), *[F.col(c) for c in self.x], F.col(self.y)]
         out = [F.sum("_ll").alias("likelihood")]
         for e in range(self.leaves):
@@ -126,7 +131,7 @@ class ExpertTree:
             below = [e for e in range(self.leaves) if any(p == g for p, _ in self._path(e))]
             yes = [e for e in below if (g, 1) in self._path(e)]
             reach, took = (sum((F.col(f"_r{e}") for e in s), F.lit(0.0)) for s in (below, yes))
-            p = 1 / (1 + F.exp(-F.greatest(F.least(self._gate_score(g), F.lit(700.0)), F.lit(-700.0))))
+            p = F.col(f"_q{g}")
             out += [F.sum((took - reach * p) * z[i]).alias(f"g{g}_{i}") for i in range(len(z))]
             out += [F.sum(reach * p * (1 - p) * z[i] * z[j]).alias(f"h{g}_{i}_{j}") for i in range(len(z)) for j in range(i, len(z))]
         return held.agg(*out)

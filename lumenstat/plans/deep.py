@@ -77,13 +77,16 @@ def gam_cv(spark, d):
     return rounded(spark.createDataFrame(rows, "penalty double, mse double, se double"), 5)
 
 
-def _sold(spark, d):
-    return table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 10).alias("a"), (F.col("l_discount").cast("double") * 10).alias("b"), (F.col("l_extendedprice").cast("double") / 10_000).alias("y"))
+def _bent(spark, d):
+    """Parts whose response follows the key's remainder where they are large, and falls with their size where they are small."""
+    a, b = F.col("p_size") / 10.0, F.pmod("p_partkey", F.lit(17)) / 5.0
+    own = F.pmod(F.col("p_retailprice").cast("double"), F.lit(100.0)) / 200
+    return table(spark, d, "part").select(a.alias("a"), b.alias("b"), (F.when(F.col("p_size") > 25, 1.5 * b).otherwise(4 - a) + own).alias("y"))
 
 
 def expert_tree(spark, d):
     """Four experts under three gates: log likelihood a row by step, and at the end the mean split of the predictive variance."""
-    df = _sold(spark, d)
+    df = _bent(spark, d)
     fit = experts.ExpertTree(df, ["a", "b"], "y", 2, 12)
     within, between = fit.variances()
     last = df.agg(F.avg(within).alias("w"), F.avg(between).alias("b"), F.avg(F.pow(F.col("y") - fit.predict(), F.lit(2))).alias("e")).first()
@@ -108,8 +111,8 @@ def flexible_classes(spark, d):
 
 def network_posterior(spark, d):
     """Four chains over the weights of a small network: acceptance, R-hat, coverage and the split of the predictive variance."""
-    df = table(spark, d, "part").select((F.col("p_size") / 10.0).alias("x"), (F.col("p_retailprice").cast("double") / 100).alias("y"))
-    fit = posterior.NetworkPosterior(df, ["x"], "y", 2, 4, 60, 30)
+    df = _bent(spark, d)
+    fit = posterior.NetworkPosterior(df, ["a", "b"], "y", 3, 4, 60, 30)
     return rounded(fit.report(df).withColumns({"accepted": F.lit(float(fit.accepted.mean())), "median_rhat": F.lit(float(np.median(fit.rhat())))}), 4)
 
 
