@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenstat.operators import adaptive, additive, boxes, experts, flexible, posterior, project, pursuit, quantiles, resample, separate, spaces, splines, supportpath, trees, tuning
+from lumenstat.operators import adaptive, additive, boxes, chains, experts, flexible, posterior, project, pursuit, quantiles, resample, separate, signals, spaces, splines, supportpath, trees, tuning
 
 
 def svm_objective(x, y, n, cost, kernel=supportpath.linear_kernel):
@@ -379,3 +379,24 @@ def test_importance_of_adaptive_splines(steps):
     assert adaptive.described((("a", 2.5, 1), ("b", 1.0, -1))) == "max(0, a - 2.5) * max(0, 1 - b)" and adaptive.described(()) == "1"
     rows = adaptive.spline_degree_cv(steps, ["a", "b"], "y", "fold", (1, 2), most=5, knots=5)
     assert [r[0] for r in rows] == [1, 2] and all(r[1] < 2 for r in rows)
+
+
+def test_lags_and_levels_across_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    v = np.convolve(rng.normal(size=330), np.ones(12), "valid")
+    gaps = [t for t in range(len(v)) if t not in (40, 41, 200)]
+    df = spark.createDataFrame([(c, int(t), float(v[t] + c)) for c in (0, 1) for t in gaps] + [(0, 500, None)], "chain long, step long, value double")
+    monkeypatch.setattr(chains, "BLOCK", 50)
+    got = {(r.chain, r.lag): r.rho for r in chains.autocorrelations(df, 30).collect()}
+    dense = np.zeros(len(v))
+    dense[gaps] = v[gaps] - v[gaps].mean()
+    for c in (0, 1):
+        for k in range(31):
+            assert got[c, k] == pytest.approx(dense[k:] @ dense[: len(v) - k] / (dense @ dense), abs=1e-9)
+    series = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v[:300])], "i long, value double")
+    levels = {r.level: (r.energy, r.n) for r in signals.haar_energies(series, "i", "value", 3).collect()}
+    padded = np.concatenate([v[:300], np.zeros(212)])
+    assert set(levels) == set(range(1, 10))
+    for k in range(1, 10):
+        w = (padded.reshape(-1, 2, 2 ** (k - 1)).sum(2) @ [1, -1]) / 2 ** (k / 2)
+        assert levels[k][0] == pytest.approx(w @ w) and levels[k][1] == -(-300 // 2**k)
