@@ -132,11 +132,14 @@ def deduplicated(docs: DataFrame, index: DigestIndex, scratch: Scratch, id_col:
 
 
 def keep_first_copies(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``decisions`` keeps, one for each text, with their columns as they are."""
-    digest, key = spare(docs, "_digest"), spare(docs, "_key")
-    gone = decisions.filter(~F.col("kept")).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
-    marked = docs.withColumn(digest, F.sha2(filled(F.col(text_col)), 256))
-    left = marked.join(gone, (marked[digest] == gone[digest]) & marked[id_col].eqNullSafe(gone[key]), "left_anti")
-    again = decisions.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("text_sha256").alias(digest)).distinct()
-    once, repeated = left.join(again, digest, "left_anti"), left.join(again, digest, "left_semi")
-    return once.unionByName(repeated.dropDuplicates([digest])).select(*docs.columns)
+    """The rows of ``docs`` that ``decisions`` keeps, one for each text, with their columns as they are.
+
+    Texts move once: rows meet the kept pairs of digest and id, so that a text that many rows share is spread by its ids.
+    Only where rows repeat both id and text are those few taken apart, and one of each stays."""
+    digest, key, more = spare(docs, "_digest"), spare(docs, "_key"), spare(docs, "_more")
+    pairs = decisions.filter("kept").groupBy(F.col("text_sha256").alias(digest), F.col("doc_id").alias(key)).agg((F.count("*") > 1).alias(more))
+    marked = docs.withColumn(f"{digest}_own", F.sha2(filled(F.col(text_col)), 256))
+    kept = marked.join(pairs, (marked[f"{digest}_own"] == pairs[digest]) & marked[id_col].eqNullSafe(pairs[key]))
+    if pairs.filter(more).isEmpty():
+        return kept.select(*docs.columns)
+    return kept.filter(~F.col(more)).select(*docs.columns).unionByName(kept.filter(more).dropDuplicates([digest]).select(*docs.columns))
