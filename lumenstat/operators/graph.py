@@ -1,4 +1,8 @@
-"""PageRank by joins and aggregates: dangling mass follows the teleport vector, rank is renormalised each step."""
+"""PageRank by joins and aggregates: dangling mass follows the teleport vector, rank is renormalised each step.
+
+Ranks that settle need no step for the dangling mass: it goes where the jumps go, so that they are in proportion to the sum of
+what each jump hands on by links alone (``_settled``). That sum ends where the links end, after two terms if they lead one way.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +13,13 @@ from pyspark.sql import functions as F
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.85, teleport: DataFrame | None = None, tol: float | None = None) -> DataFrame:
-    """``nodes``: id; ``edges``: src, dst, distinct. ``teleport``: id, weight, for personal ranks (none: all alike). Returns id, rank after ``steps`` steps, or after the first that moves all ranks together by less than ``tol``. Lineage is cut by checkpoint()."""
+    """``nodes``: id; ``edges``: src, dst, distinct. ``teleport``: id, weight, for personal ranks (none: all alike). Returns id, rank after ``steps`` steps; with ``tol``, ranks that a further step moves by less than ``tol`` together (of ``steps`` terms at most). Lineage is cut by checkpoint()."""
     sc = nodes.sparkSession.sparkContext
     if not (nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenstat-"))
+    nodes = every_node = nodes.persist()
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("deg"))
     links = edges.join(degree, "src").select("src", "dst", "deg").persist()
@@ -24,6 +29,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
     else:
         every = teleport.join(nodes, "id", "left_semi").agg(F.sum("weight").alias("every"))
         nodes = nodes.join(teleport, "id", "left").crossJoin(F.broadcast(every)).select("id", (F.coalesce("weight", F.lit(0.0)) / F.col("every")).alias("jump"))  # one row
+    if tol is not None and links.select("dst").distinct().join(nodes, F.col("dst") == nodes["id"], "left_anti").isEmpty():
+        ranks = _settled(nodes, links, steps, damping, tol)  # holds checkpoints alone
+        links.unpersist()
+        every_node.unpersist()
+        return ranks
     now = ranks
     for step in range(steps):
         sent = links.join(ranks, links["src"] == ranks["id"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
@@ -43,6 +53,24 @@ def pagerank(nodes: DataFrame, edges: DataFrame, steps: int, damping: float = 0.
     return ranks
 
 
+def _settled(nodes: DataFrame, links: DataFrame, steps: int, damping: float, tol: float) -> DataFrame:
+    """The ranks that no step moves, of links between ``nodes`` (id, jump): x = jump + damping * (what x sends), scaled to a sum of 1.
+
+    A term of the sum is a join and an aggregation of the nodes that the last one reached. A step from x moves the ranks by twice
+    the next term at most, in parts of x's sum.
+    """
+    now = nodes.select("id", F.col("jump").alias("x"), F.col("jump").alias("term")).checkpoint()
+    for _ in range(steps):
+        reached = now.filter("term <> 0").select("id", "term")
+        sent = links.join(reached, links["src"] == reached["id"]).groupBy("dst").agg((damping * F.sum(F.col("term") / F.col("deg"))).alias("got"))
+        got = F.coalesce("got", F.lit(0.0))
+        now = now.select("id", "x").join(sent, F.col("id") == F.col("dst"), "left").select("id", (F.col("x") + got).alias("x"), got.alias("term")).checkpoint()
+        moved, every = now.agg(F.sum(F.abs("term")), F.sum("x")).first()
+        if moved is None or 2 * moved < tol * every:
+            break
+    return now.crossJoin(F.broadcast(now.agg(F.sum("x").alias("every")))).select("id", (F.col("x") / F.col("every")).alias("rank"))  # one row
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, out_degree, in_degree, dangling (no edge leaves it)."""
     out, into = edges.groupBy("src").agg(F.count("*").alias("o")), edges.groupBy("dst").agg(F.count("*").alias("i"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lumenstat.operators import chains, order
-from lumenstat.operators.graph import pagerank
+from lumenstat.operators.graph import pagerank, pagerank_direct
 from lumenstat.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,18 @@ def test_pagerank_to_tolerance_equals_brute_force(spark):
     assert np.abs(np.array([r["rank"] for r in got]) - want).sum() < 1e-8
 
 
+def test_links_that_end_settle_in_as_many_terms(spark):
+    rng = np.random.default_rng(4)
+    links = sorted({(int(a), 30 + int(b)) for a, b in zip(rng.integers(0, 28, 80), rng.integers(0, 6, 80))})
+    nodes, edges = spark.range(36), spark.createDataFrame(links, "src long, dst long")
+    want = dict(pagerank_direct(nodes, edges))
+    got = {r["id"]: r["rank"] for r in pagerank(nodes, edges, 3, tol=1e-12).collect()}
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-14 and sum(got.values()) == pytest.approx(1, abs=1e-14)
+    home = spark.createDataFrame([(0, 3.0), (33, 1.0)], "id long, weight double")
+    a, b = (dict(pagerank(nodes, edges, k, teleport=home, tol=t).collect()) for k, t in ((3, 1e-12), (40, None)))
+    assert max(abs(a[k] - b[k]) for k in want) < 0.85**40
+
+
 @pytest.mark.parametrize("name", ["chain_rhat_all", "chain_autocorrelation_all", "credible_interval_all"])
 def test_chains_of_all_events_equal_sql(spark, name):
     same(spark, name)
