@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-#: Most queries that are sent to every partition of the data; more must be asked in parts.
-MOST_QUERIES = 100_000
+from lumenstat.operators.blocks import nearest_blocks
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -42,15 +40,9 @@ def kmeans(df: DataFrame, cols: list[str], start: list[list[float]], steps: int)
 
 
 def neighbours(queries: DataFrame, data: DataFrame, k: int, id_col: str, vec: str) -> DataFrame:
-    """Exact nearest rows of ``data`` by Euclidean distance for a stated set of at most MOST_QUERIES queries (counted); the lowest id wins ties."""
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries: ask at most {MOST_QUERIES} at once")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("qv"))
-    pairs = data.crossJoin(F.broadcast(q)).filter(F.col("query_id") != F.col(id_col))
-    pairs = pairs.withColumn("dist", F.sqrt(squared_distance(F.col(vec), F.col("qv"))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", id_col))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).drop("qv", vec)
+    """Exact nearest rows of ``data`` by Euclidean distance for a stated set of queries, of any number; the lowest id wins ties."""
+    carry = [c for c in data.columns if c != vec]
+    return nearest_blocks(queries, data, k, id_col, vec, "euclidean", id_col, carry).select(*carry, "query_id", "dist", "rank")
 
 
 def sums_of_squares(df: DataFrame, label: str, x: list[str]) -> DataFrame:
