@@ -54,3 +54,9 @@ def test_any_number_of_queries(spark):
     df = spark.range(100_001).selectExpr("id", "array(CAST(id AS DOUBLE)) AS v")
     near = cluster.neighbours(df, df.filter("id % 20000 = 0"), 1, "id", "v")
     assert near.count() == 100_001 and near.filter("dist > 20000 OR dist = 0").count() == 0
+
+
+def test_means_of_any_number_of_queries(spark):
+    df = spark.range(100_001).selectExpr("id", "array(CAST(id AS DOUBLE)) AS v", "CAST(id AS DOUBLE) AS y")
+    got = nearby.knn_regress(nearby.nearest_rows(df, df.filter("id % 20000 = 0"), 1, "id", "v"), "y")
+    assert got.count() == 100_001 and got.filter("abs(predicted - query_id) > 20000").count() == 0
