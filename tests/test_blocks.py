@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from lumenstat.operators import blocks, cluster, nearby
+from lumenstat.plans import points
 
 
 def brute(rows, asked, k, metric):
@@ -60,3 +61,13 @@ def test_means_of_any_number_of_queries(spark):
     df = spark.range(100_001).selectExpr("id", "array(CAST(id AS DOUBLE)) AS v", "CAST(id AS DOUBLE) AS y")
     got = nearby.knn_regress(nearby.nearest_rows(df, df.filter("id % 20000 = 0"), 1, "id", "v"), "y")
     assert got.count() == 100_001 and got.filter("abs(predicted - query_id) > 20000").count() == 0
+
+
+def test_a_null_vector_is_nobodys_nearest(spark, tmp_path):
+    """Its null distance ranked first."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    none = spark.createDataFrame([(10**6 + 1, None, 77)], df.schema)
+    df.write.parquet(str(tmp_path / "a" / "embeddings.parquet"))
+    df.unionByName(none).write.parquet(str(tmp_path / "b" / "embeddings.parquet"))
+    a, b = (sorted(points.knn_class(spark, str(tmp_path / d)).collect()) for d in "ab")
+    assert a == b and len(a) > 0
