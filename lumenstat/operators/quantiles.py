@@ -1,9 +1,8 @@
 """Exact order statistics of groups of any size, under any number of row weights at once.
 
-Values are first counted by group (partial sums, so that a frequent value is one row). A group with many distinct values
-is cut into ranges by an approximate sketch; the weights of the ranges tell in which range each wanted rank lies, and only
-those ranges are sorted, each in a task of its own. So no group is held or sorted whole, and the result is exact whatever
-the sketch said. Weights may be counts of a bootstrap draw: the ranks are then those of the drawn rows.
+A long group is cut into ranges by an approximate sketch; the weights of the ranges tell in which range each wanted rank lies,
+and only those ranges are kept, their equal values counted as one row, and cut again until they are short. These are sorted,
+each in a task of its own. So no group is held, moved or sorted whole, and the result is exact whatever the sketch said. Weights may be counts of a bootstrap draw: the ranks are then those of the drawn rows.
 """
 
 from __future__ import annotations
@@ -18,19 +17,51 @@ from lumenstat.functions.distributions import normal_cdf, quantile
 from lumenstat.operators.resample import poisson_copies
 
 RANGE_ROWS = 1_000_000  # distinct values of one range, as an aim
-
-
-def _ranges(counted: DataFrame, by: list[str], range_rows: int) -> DataFrame:
-    """``counted`` (by, _v, ...) with _range: the number of its group's bounds below the value."""
-    most = counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    cuts = math.ceil(most / range_rows)
-    if cuts < 2:
-        return counted.withColumn("_range", F.lit(0))
-    marks = F.percentile_approx("_v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(20 * cuts))
-    bounds = counted.groupBy(*by).agg(F.array_distinct(marks).alias("_bounds"))
-    named = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in by], "_bounds")
-    joined = counted.join(named, _same(by)) if by else counted.crossJoin(F.broadcast(bounds))  # one row
-    return joined.withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds", *[f"_k_{k}" for k in by])
+CUTS = 64  # ranges that one is cut into at a time, a power of two
+FEW = 5_000  # ranges whose bounds are sent to every task
+
+
+def _of(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """``rows`` with the other columns of ``table`` (a row of each group or range); a table of few rows goes to every task."""
+    named = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in table.columns if c not in keys])
+    return rows.join(F.broadcast(named) if few else named, _same(keys)).drop(*[f"_k_{k}" for k in keys])
+
+
+def _inside(before: Column, size: Column) -> Callable[[Column], Column]:
+    """A rank of the whole, as one of the part that follows ``before`` rows; null if it is not there."""
+    return lambda k: F.when((k >= before) & (k < before + size), k - before)
+
+
+def _narrowed(rows: DataFrame, asked: DataFrame, by: list[str], w: list[str], range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (by, _range, _v, weights), equal values as one, of ranges with ``range_rows`` values as an aim, and the ranks wanted of each.
+
+    Each turn cuts every longer range into CUTS, so that a row meets few bounds, and keeps those that hold a wanted rank.
+    """
+    keys, last, held = [*by, "_range"], math.inf, None
+    wanted = F.exists("_want", lambda a: F.exists(a, lambda k: k.isNotNull()))
+    count = rows.groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in w])
+    while True:
+        most, ranges = asked.agg(F.max("_n"), F.count("*")).first()
+        if (most or 0) <= range_rows or most >= last:  # no shorter: one value may fill a range, which counting makes short
+            return (count if held is None else held), asked.select(*keys, "_want")
+        few, last = ranges <= FEW, most
+        marks = F.percentile_approx("_v", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(20 * CUTS))
+        inside = rows if held is None else held
+        bounds = inside.groupBy(*keys).agg(marks.alias("_bounds"), F.count("*").alias("_rows")).select(*keys, F.when(F.col("_rows") > range_rows, F.col("_bounds")).alias("_bounds")).persist()
+        halves = F.array(*[F.lit(CUTS >> i) for i in range(1, CUTS.bit_length())])
+        below = F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(F.get("_bounds", at + step - 1) < F.col("_v"), step).otherwise(0))  # how many bounds lie below
+        dealt = _of(inside, bounds, keys, few).withColumn("_sub", below).drop("_bounds")
+        before = Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        sizes = dealt.groupBy(*keys, "_sub").agg(*[F.sum(n).alias(n) for n in w]).select(*keys, "_sub", *w, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_s{n}") for n in w])
+        here = [F.transform(F.col("_want")[r], _inside(F.col(f"_s{n}"), F.col(n))) for r, n in enumerate(w)]
+        kept = _of(sizes, asked.select(*keys, "_want"), keys, few).select(*keys, "_sub", F.array(*here).alias("_want")).filter(wanted).persist()
+        deeper = (F.col("_range") * CUTS + F.col("_sub")).alias("_range")
+        left = _of(dealt, kept.select(*keys, "_sub"), [*keys, "_sub"], few).select(*by, deeper, "_v", *w).groupBy(*keys, "_v").agg(*[F.sum(n).alias(n) for n in w]).persist()
+        asked = _of(left.groupBy(*keys).agg(F.count("*").alias("_n")), kept.select(*by, deeper, "_want"), keys, few).persist()
+        asked.count()  # holds ``left`` too: what it came from can go
+        for t in (bounds, kept, *([held] if held is not None else [])):
+            t.unpersist()
+        held = left
 
 
 def order_statistics(df: DataFrame, value: str, ranks: Callable[[Column], list[Column]], by: list[str] | None = None, weights: list[Column] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -38,28 +69,17 @@ def order_statistics(df: DataFrame, value: str, ranks: Callable[[Column], list[C
     total weight; null where a total holds no such rank. Weights are whole numbers, rows with a null value are left out."""
     by, weights = by or [], weights or [F.lit(1)]
     w = [f"_w{r}" for r in range(len(weights))]
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(*[F.sum(c).cast("long").alias(n) for c, n in zip(weights, w, strict=True)])
-    dealt = _ranges(counted, by, range_rows)
-    sizes = dealt.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in w])
-    span = Window.partitionBy(*(by or [F.lit(0)]))
-    before = span.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # a row a range and group
-    placed = sizes.select(*by, "_range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_s{n}") for n in w], *[F.sum(n).over(span).alias(f"_t{n}") for n in w], *w)
-    wanted = []
-    for n in w:
-        asked = ranks(F.col(f"_t{n}"))
-        here = [F.when((k >= F.col(f"_s{n}")) & (k < F.col(f"_s{n}") + F.col(n)), (k - F.col(f"_s{n}")).cast("long")) for k in asked]
-        wanted.append(F.array(*here))
-    placed = placed.select(*by, "_range", F.array(*[F.col(f"_t{n}") for n in w]).alias("_total"), F.array(*wanted).alias("_want"))
-    some = F.exists("_want", lambda a: F.exists(a, lambda k: k.isNotNull()))
-    count = len(ranks(F.lit(1)))
-    keys = [*by, "_range"]
+    keys, zero = [*by, "_range"], F.lit(0).cast("long")
+    rows = df.filter(F.col(value).isNotNull()).select(*by, zero.alias("_range"), F.col(value).alias("_v"), *[c.cast("long").alias(n) for c, n in zip(weights, w, strict=True)])
+    sums = rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in w], F.count("*").alias("_n"))
+    wanted = [F.array(*[F.when((k >= 0) & (k < F.col(n)), k.cast("long")) for k in ranks(F.col(n))]) for n in w]
+    asked = sums.select(*by, zero.alias("_range"), F.array(*w).alias("_total"), F.array(*wanted).alias("_want"), "_n").persist()
+    total, count = asked.select(*by, "_total"), len(ranks(F.lit(1)))
+    counted, want = _narrowed(rows, asked.drop("_total"), by, w, range_rows)
     inner = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    wide = dealt.join(placed.filter(some).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_want"), _same(keys), "inner").drop(*[f"_k_{k}" for k in keys])
-    run = wide.select(*keys, "_v", "_want", *[F.sum(n).over(inner).alias(n) for n in w])
+    run = _of(counted, want, keys, False).select(*keys, "_v", "_want", *[F.sum(n).over(inner).alias(n) for n in w])
     found = run.groupBy(*keys).agg(*[F.min(F.when(F.col(n) > F.col("_want")[r][j], F.col("_v"))).alias(f"_f{r}_{j}") for r, n in enumerate(w) for j in range(count)])
     first = found.groupBy(*by).agg(*[F.max(f"_f{r}_{j}").alias(f"_f{r}_{j}") for r in range(len(w)) for j in range(count)])
-    total = placed.groupBy(*by).agg(F.first("_total").alias("_total"))
     at = F.array(*[F.array(*[F.col(f"_f{r}_{j}") for j in range(count)]) for r in range(len(w))]).alias("_at")
     if not by:
         return total.crossJoin(F.broadcast(first)).select("_total", at)  # one row each
