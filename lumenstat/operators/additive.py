@@ -82,13 +82,15 @@ class LogisticAdditive:
 
     One aggregation a step holds the products and the deviance of the present fit. A step that would raise the penalised
     deviance is halved. ``path`` has the deviance before each step and at the end; 0/1 responses, rows with nulls left out.
+    ``count``: how many rows each row of ``df`` stands for (equal rows counted before, kept for all steps).
     """
 
-    def __init__(self, df: DataFrame, groups: list[list[Column]], y: str, lam: float, steps: int = 25, sweeps: int = 2000, tol: float = 1e-8, least: float = 1e-6) -> None:
+    def __init__(self, df: DataFrame, groups: list[list[Column]], y: str, lam: float, steps: int = 25, sweeps: int = 2000, tol: float = 1e-8, least: float = 1e-6, count: str | None = None) -> None:
         self.groups, self.sizes, k = groups, [len(g) for g in groups], sum(len(g) for g in groups)
-        data, names = _wide(df, groups, {"_y": F.col(y)})
+        data, names = _wide(df, groups, {"_y": F.col(y), "_n": F.col(count) if count else F.lit(1.0)})
+        data = data.persist() if count else data
         pen = lam * block_penalty(self.sizes) + 1e-8 * np.eye(k)
-        first = data.agg(F.count("*").alias("n"), F.avg("_y").alias("p")).first()
+        first = data.agg(F.coalesce(F.sum("_n"), F.lit(0.0)).cast("long").alias("n"), (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("p")).first()
         self.n = first["n"]
         rate = min(max(first["p"] or 0.0, 1e-6), 1 - 1e-6)
         self.null_deviance = -2 * self.n * (rate * np.log(rate) + (1 - rate) * np.log(1 - rate)) if self.n else 0.0
@@ -98,9 +100,10 @@ class LogisticAdditive:
             p = 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(700.0)), F.lit(-700.0))))
             # log(1 + exp(eta)) without overflow
             soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-            step = with_numbers(data, now).withColumns({"_eta": eta, "_q": p, "_loss": 2 * (soft - F.col("_y") * eta)})
+            step = with_numbers(data, now).withColumns({"_eta": eta, "_q": p, "_loss": F.col("_n") * 2 * (soft - F.col("_y") * eta)})
             step = step.withColumn("_w", F.greatest(F.col("_q") * (1 - F.col("_q")), F.lit(least)))
             step = step.withColumn("_z", F.col("_eta") + (F.col("_y") - F.col("_q")) / F.col("_w"))
+            step = step.withColumn("_w", F.col("_n") * F.col("_w"))
             row = step.agg(*_products(names, "_z", "_w"), F.sum("_loss").alias("deviance")).first()
             value = row["deviance"] + now[1:] @ pen @ now[1:]
             if value > best + 1e-9 * abs(best) and np.abs(move).max() > tol:
@@ -118,6 +121,8 @@ class LogisticAdditive:
             new = np.concatenate([[mean[-1] - beta @ mean[:-1]], beta])
             move = new - now
             now = new
+        if count:
+            data.unpersist()
         self.mean, self.beta = float(now[0]), np.split(now[1:], np.cumsum(self.sizes)[:-1])
         self.deviance = self.path[-1] if self.path else 0.0
 

@@ -42,13 +42,14 @@ def svc_points(spark, d):
 
 
 def _returned(spark, d):
+    """Quantities and discounts take few values: equal rows are one, ``n`` says of how many."""
     x = F.col("l_quantity").cast("double") / 25 - 1
-    return table(spark, d, "lineitem").select(x.alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y"))
+    return table(spark, d, "lineitem").select(x.alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("y")).groupBy("u", "v", "y").agg(F.count("*").alias("n"))
 
 
 def logistic_gam(spark, d):
     """Four Newton steps of an additive logit with a term for each column: coefficients and the deviance a row before each step."""
-    fit = additive.LogisticAdditive(_returned(spark, d), [[F.col("u")], [F.col("v")]], "y", 0.0, steps=4, tol=0.0)
+    fit = additive.LogisticAdditive(_returned(spark, d), [[F.col("u")], [F.col("v")]], "y", 0.0, steps=4, tol=0.0, count="n")
     rows = [(fit.mean, float(fit.beta[0][0]), float(fit.beta[1][0]), *(p / fit.n for p in fit.path[:3]))]
     return rounded(spark.createDataFrame(rows, "mean double, b_u double, b_v double, deviance_0 double, deviance_1 double, deviance_2 double"), 6)
 
@@ -59,7 +60,7 @@ def _smooths(u, v):
 
 def logistic_gam_path(spark, d):
     """Deviance by step of an additive logit with two penalised splines."""
-    fit = additive.LogisticAdditive(_returned(spark, d), _smooths(F.col("u"), F.col("v")), "y", 10.0)
+    fit = additive.LogisticAdditive(_returned(spark, d), _smooths(F.col("u"), F.col("v")), "y", 10.0, count="n")
     return rounded(spark.createDataFrame([(i, float(p / fit.n), float(fit.null_deviance / fit.n)) for i, p in enumerate(fit.path)], "step long, deviance_n double, null_n double"))
 
 

@@ -104,6 +104,15 @@ def test_logistic_additive_equals_joint_fit(waves):
     assert np.abs(got - a @ beta).max() < 2e-3
 
 
+def test_logistic_additive_of_counted_rows(spark):
+    df = spark.range(400).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 5 = 0 AS DOUBLE) AS y")
+    groups = [[F.col("a")], [F.col("b")]]
+    rows = additive.LogisticAdditive(df, groups, "y", 0.0, steps=4)
+    few = additive.LogisticAdditive(df.groupBy("a", "b", "y").agg(F.count("*").alias("n")), groups, "y", 0.0, steps=4, count="n")
+    assert few.n == rows.n == 400 and few.path == pytest.approx(rows.path) and few.null_deviance == pytest.approx(rows.null_deviance)
+    assert np.allclose(np.concatenate(few.beta), np.concatenate(rows.beta), atol=1e-9)
+
+
 def test_weighted_additive_equals_joint_fit_and_folds(waves):
     groups = bases()
     w = 1 + F.pmod("id", F.lit(3))
