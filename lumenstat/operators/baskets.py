@@ -10,7 +10,8 @@ def supports(items: DataFrame, size: int, least: float) -> DataFrame:
     """Frequent itemsets of up to ``size`` items of distinct (txn, item) rows: item1.., support, level by level."""
     total = items.select("txn").distinct().count()
     single = items.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least * total)
-    kept = items.join(single.select("item"), "item", "left_semi")
+    # at most a basket's mean size / least of them; a join by item would bring all baskets of a frequent item to one task
+    kept = items.join(F.broadcast(single.select("item")), "item", "left_semi")
     out, rows = single.select(F.array("item").alias("items"), "n"), kept.select("txn", F.array("item").alias("items"), F.col("item").alias("last"))
     for _ in range(size - 1):
         rows = rows.join(kept, "txn").filter(F.col("item") > F.col("last")).select("txn", F.array_append("items", F.col("item")).alias("items"), F.col("item").alias("last"))
@@ -124,7 +125,8 @@ def evaluated(table: DataFrame, items: DataFrame) -> DataFrame:
     def counted(sides: DataFrame, name: str) -> DataFrame:
         """``sides``: side, as comma-joined names. How many baskets hold all its items."""
         long = sides.distinct().select("side", F.size(F.split("side", ",")).alias("k"), F.explode(F.split("side", ",")).alias("item"))
-        hold = long.join(items.distinct(), "item").groupBy("side", "k", "txn").agg(F.count("*").alias("h")).filter("h = k")
+        # rules are few: a join by item would bring all baskets of a frequent item to one task
+        hold = items.distinct().join(F.broadcast(long), "item").groupBy("side", "k", "txn").agg(F.count("*").alias("h")).filter("h = k")
         return hold.groupBy("side").agg(F.count("*").alias(name))
 
     whole = table.select("lhs", "rhs", F.array_join(F.array_sort(F.concat(F.split("lhs", ","), F.split("rhs", ","))), ",").alias("side"))
