@@ -115,3 +115,8 @@ def test_few_pairs_are_compared_in_full(monkeypatch, shift, odd):
     got = met(rows, asked, 5)
     assert sum(pairs) < 0.02 * len(rows) * len(asked)
     assert got[80] == brute(rows, [80], 5, "euclidean")[80]
+
+
+def test_found_rows_hold_no_vectors(spark):
+    """Five whole vectors of each query and block went through the ranking, and all vectors as doubles."""
+    assert set(points._near(spark, "/root/testdata/sf0.001").columns) == {"vec_id", "label", "query_id", "dist", "rank"}
