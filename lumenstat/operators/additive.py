@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenstat.operators.linear import gram, matrix
 from lumenstat.operators.splines import additive_predict, difference_penalty
 from lumenstat.operators.steps import with_numbers
-from lumenstat.operators.validate import Row, path_cv, quadratic
+from lumenstat.operators.validate import Row, path_cv, path_errors, quadratic
 
 
 def block_penalty(sizes: list[int], order: int = 2) -> np.ndarray:
@@ -139,7 +139,21 @@ def _products(x: list[str], y: str, weight: str) -> list[Column]:
     return [F.sum(w * cols[i] * cols[j]).alias(f"s_{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
 
 
-def additive_cv(df: DataFrame, groups: list[list[Column]], y: str, fold: Column, penalties: list[float]) -> list[Row]:
-    """(penalty, mean squared error, standard error) over folds: the additive fit of each fold's training rows, from one aggregation by fold."""
-    data, names = _wide(df, groups, {"_y": F.col(y), "_fold": fold})
-    return path_cv(data, names, "_y", "_fold", penalties, quadratic(block_penalty([len(g) for g in groups])), scale=False)
+def additive_cv(df: DataFrame, groups: list[list[Column]], y: str, fold: Column, penalties: list[float], same: list[str] | None = None) -> list[Row]:
+    """(penalty, mean squared error, standard error) over folds: the additive fit of each fold's training rows, from one aggregation by fold.
+
+    ``same``: the columns that ``groups`` are made of, where they take few values. Rows equal in these and in the fold are then
+    summed first (how many, responses, squares), and the basis is evaluated once for each; the products are those of the rows.
+    """
+    fit = quadratic(block_penalty([len(g) for g in groups]))
+    if same is None:
+        data, names = _wide(df, groups, {"_y": F.col(y), "_fold": fold})
+        return path_cv(data, names, "_y", "_fold", penalties, fit, scale=False)
+    rows = df.select(*same, F.col(y).cast("double").alias("_y"), fold.alias("_fold")).dropna(subset=["_y", "_fold"])
+    sums = rows.groupBy(*same, "_fold").agg(F.count("*").alias("_n"), F.sum("_y").alias("_y"), F.sum(F.col("_y") * F.col("_y")).alias("_yy"))
+    data, names = _wide(sums, groups, {"_n": F.col("_n"), "_y": F.col("_y"), "_yy": F.col("_yy"), "_fold": F.col("_fold")})
+    cols, last = [F.lit(1.0), *[F.col(c) for c in names]], len(names) + 1
+    inner = [F.sum(F.col("_n") * cols[i] * cols[j]).alias(f"s_{i}_{j}") for i in range(last) for j in range(i, last)]
+    outer = [F.sum(F.col("_y") * c).alias(f"s_{i}_{last}") for i, c in enumerate(cols)]
+    per = {r["_fold"]: matrix(r, last + 1) for r in data.groupBy("_fold").agg(*inner, *outer, F.sum("_yy").alias(f"s_{last}_{last}")).collect()}
+    return path_errors(per, len(names), penalties, fit, scale=False)

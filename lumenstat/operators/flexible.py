@@ -37,13 +37,15 @@ class FlexibleDiscriminant:
     A linear basis gives the linear discriminants; splines, products or hinges give curved ones. Rows with nulls are left
     out. ``correlation`` has the squared correlation of each score with its fit; coordinates are scaled so that classes
     spread 1 within, and signs are set so that the greatest score is positive.
+    ``times``: how many rows each row of ``df`` stands for (equal rows counted before).
     """
 
-    def __init__(self, df: DataFrame, basis: list[Column], label: str, lam: float = 0.0, penalty: np.ndarray | None = None, count: int | None = None) -> None:
+    def __init__(self, df: DataFrame, basis: list[Column], label: str, lam: float = 0.0, penalty: np.ndarray | None = None, count: int | None = None, times: str | None = None) -> None:
         self.basis, self.label = basis, label
         names = [f"_b{i}" for i in range(len(basis))]
-        data = df.select(F.col(label).alias("_l"), *[b.cast("double").alias(n) for b, n in zip(basis, names, strict=True)]).dropna()
-        per = {r["_l"]: matrix(r, len(basis) + 1) for r in gram(data, names, by=["_l"]).collect()}
+        n = F.col(times) if times else F.lit(1.0)
+        data = df.select(F.col(label).alias("_l"), n.cast("double").alias("_n"), *[b.cast("double").alias(n) for b, n in zip(basis, names, strict=True)]).dropna()
+        per = {r["_l"]: matrix(r, len(basis) + 1) for r in gram(data, names, by=["_l"], weight="_n").collect()}
         self.penalty = np.eye(len(basis)) if penalty is None else penalty
         self._take(per, lam, count)
 

@@ -52,6 +52,11 @@ def path_cv(df: DataFrame, x: list[str], y: str, fold: str, settings: list[float
     """
     k = len(x)
     per = {r[fold]: matrix(r, k + 2) for r in gram(df.dropna(subset=[*x, y, fold]), x, y, by=[fold]).collect()}
+    return path_errors(per, k, settings, fit, scale)
+
+
+def path_errors(per: dict, k: int, settings: list[float], fit: Fit, scale: bool = True) -> list[Row]:
+    """``path_cv`` from the products of 1, ``k`` columns and the response, by fold."""
     total, errors = sum(per.values()), []
     for f in sorted(per):
         test, m = per[f], total - per[f]

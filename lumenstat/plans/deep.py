@@ -74,7 +74,7 @@ def weighted_gam(spark, d):
 def gam_cv(spark, d):
     """Error of the additive fit by penalty over five folds."""
     df = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("double") / 25 - 1).alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), (F.col("l_extendedprice").cast("double") / 10_000).alias("y"))
-    rows = additive.additive_cv(df, _smooths(F.col("u"), F.col("v")), "y", F.pmod("l_orderkey", F.lit(5)).cast("int"), [0.1, 1.0, 10.0, 100.0])
+    rows = additive.additive_cv(df, _smooths(F.col("u"), F.col("v")), "y", F.pmod("l_orderkey", F.lit(5)).cast("int"), [0.1, 1.0, 10.0, 100.0], same=["u", "v"])
     return rounded(spark.createDataFrame(rows, "penalty double, mse double, se double"), 5)
 
 
@@ -104,10 +104,10 @@ def flexible_direction(spark, d):
 
 def flexible_classes(spark, d):
     """Return flags told apart by splines of quantity and discount: rows by class and prediction."""
-    df = table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 25 - 1).alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), "l_returnflag")
+    df = table(spark, d, "lineitem").select((F.col("l_quantity").cast("double") / 25 - 1).alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), "l_returnflag").groupBy("u", "v", "l_returnflag").agg(F.count("*").alias("n"))
     basis = [b for g in _smooths(F.col("u"), F.col("v")) for b in g[1:]]
-    fit = flexible.FlexibleDiscriminant(df, basis, "l_returnflag", 1.0, additive.block_penalty([len(g) - 1 for g in _smooths(F.col("u"), F.col("v"))]))
-    return df.groupBy("l_returnflag", fit.predict().alias("predicted")).agg(F.count("*").alias("n"))
+    fit = flexible.FlexibleDiscriminant(df, basis, "l_returnflag", 1.0, additive.block_penalty([len(g) - 1 for g in _smooths(F.col("u"), F.col("v"))]), times="n")
+    return df.groupBy("l_returnflag", fit.predict().alias("predicted")).agg(F.sum("n").alias("n"))
 
 
 def network_posterior(spark, d):

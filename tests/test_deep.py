@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenstat.operators import adaptive, additive, boxes, chains, experts, flexible, posterior, project, pursuit, quantiles, resample, separate, signals, spaces, splines, supportpath, trees, tuning
+from lumenstat.plans import deep
 
 
 def svm_objective(x, y, n, cost, kernel=supportpath.linear_kernel):
@@ -409,3 +410,30 @@ def test_lags_and_levels_across_blocks(spark, monkeypatch):
     for k in range(1, 10):
         w = (padded.reshape(-1, 2, 2 ** (k - 1)).sum(2) @ [1, -1]) / 2 ** (k / 2)
         assert levels[k][0] == pytest.approx(w @ w) and levels[k][1] == -(-300 // 2**k)
+
+
+def test_additive_folds_of_equal_rows(spark, monkeypatch):
+    """Equal quantities and discounts of a fold are one row of the basis, which was evaluated for every line item."""
+    odd = [(None, 1.0, 1.0, 0), (1.0, None, 2.0, 1), (1.0, 1.0, None, 2), (float("nan"), 1.0, 1.0, 0), (1.0, 2.0, float("nan"), 1), (2.0, 2.0, 1.0, None)]
+    rows = [(float(i % 7), float(i % 4), float(i * i % 11), i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows + odd, "a double, b double, y double, f int")
+    groups = [splines.bspline(F.col("a"), [3.0], 0.0, 6.0, 2), [F.col("b")]]
+    want = additive.additive_cv(df, groups, "y", F.col("f"), [0.1, 10.0])
+    assert np.allclose(additive.additive_cv(df, groups, "y", F.col("f"), [0.1, 10.0], same=["a", "b"]), want, rtol=1e-9)
+    met, wide = [], additive._wide
+    monkeypatch.setattr(additive, "_wide", lambda data, *more: (met.append(data.count()), wide(data, *more))[1])
+    assert deep.gam_cv(spark, "/root/testdata/sf0.001").count() == 4
+    assert len(met) == 1 and met[0] <= 50 * 11 * 5
+
+
+def test_flexible_classes_of_equal_rows(spark, monkeypatch):
+    """The same step of ``flexible_classes``."""
+    met, plain = [], flexible.FlexibleDiscriminant
+    monkeypatch.setattr(flexible, "FlexibleDiscriminant", lambda data, *more, **named: (met.append((data, more)), plain(data, *more, **named))[1])
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = {(r[0], r[1]): r[2] for r in deep.flexible_classes(spark, "/root/testdata/sf0.001").collect()}
+    data, (basis, label, *more) = met[0]
+    assert data.count() <= 50 * 11 * 3 and sum(got.values()) == lines.count()
+    every = lines.select((F.col("l_quantity").cast("double") / 25 - 1).alias("u"), (F.col("l_discount").cast("double") * 20 - 1).alias("v"), label)
+    want = every.groupBy(label, plain(every, basis, label, *more).predict().alias("p")).count().collect()
+    assert got == {(r[0], r[1]): r[2] for r in want}
